@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, simhash
+from . import embeddings, lzfingerprint, packing, quality, simhash
 from .shared import table
 
 
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lzfingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 #: Registered by name.
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_lexical_packing, op6_simhash_near_dedup, op7_lz_fingerprints, op9_quality_cnn, op10_embedding_near_dedup)}
