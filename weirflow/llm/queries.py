@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lzfingerprint, packing, quality, simhash
+from . import embeddings, lzfingerprint, packing, quality, simhash, unigram
 from .shared import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -25,6 +29,11 @@ def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids and what they decode to."""
+    return unigram.decode(unigram.encode(table(spark, sf_dir, "documents"))).withColumn("n_ids", F.size("ids"))
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,4 +43,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Registered by name.
-QUERIES = {f.__name__: f for f in (op2_lexical_packing, op6_simhash_near_dedup, op7_lz_fingerprints, op9_quality_cnn, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}

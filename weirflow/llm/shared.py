@@ -57,6 +57,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``most`` bytes of ``column`` (one row at least), so that Python never holds a whole batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = b.column(column)
+        ends = np.frombuffer(col.buffers()[1], np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        width = 4 if pa.types.is_list(col.type) else 1
+        start = 0
+        while start < len(col):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most // width, "right")) - 1)
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def group_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of a partition sorted by integer ``keys``: tables with the start of each group.
 
