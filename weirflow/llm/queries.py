@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lzfingerprint, packing, quality, simhash, unigram
+from . import embeddings, linededup, lzfingerprint, packing, quality, simhash, unigram
 from .shared import table
 
 
@@ -18,6 +18,11 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,4 +48,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Registered by name.
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op5_line_dedup, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
