@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, linededup, lzfingerprint, packing, quality, simhash, unigram
+from . import debruijn, embeddings, linededup, lzfingerprint, packing, quality, simhash, unigram
 from .shared import table
 
 
@@ -18,6 +18,12 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = debruijn.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -48,4 +54,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Registered by name.
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op5_line_dedup, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op4_debruijn_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
