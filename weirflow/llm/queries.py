@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, embeddings, linededup, lzfingerprint, packing, quality, simhash, unigram
+from . import debruijn, embeddings, linededup, lzfingerprint, packing, quality, simhash, suffixarray, unigram
 from .shared import table
 
 
@@ -18,6 +18,11 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixarray.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
@@ -42,7 +47,7 @@ def op7_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids and what they decode to."""
-    return unigram.decode(unigram.encode(table(spark, sf_dir, "documents"))).withColumn("n_ids", F.size("ids"))
+    return unigram.encode(table(spark, sf_dir, "documents"), decoded=True).withColumn("n_ids", F.size("ids"))
 
 
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +59,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Registered by name.
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op4_debruijn_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lexical_packing, op3_suffix_array_dedup, op4_debruijn_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_lz_fingerprints, op8_sentencepiece_codec, op9_quality_cnn, op10_embedding_near_dedup)}
