@@ -152,13 +152,18 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3) -> Network:
-    """A network fitted on at most ``rows`` labelled rows that aren't held out, chosen by the hash of their text.
+    """A network fitted on at most ``rows`` labelled rows that aren't held out, chosen by the hash of their doc_id.
 
-    Rows with a null label or doc_id are not used, nor are texts of over SAMPLE_BYTES bytes.
+    Rows with a null label or doc_id are not used, nor are texts of over SAMPLE_BYTES bytes.  The doc_ids are drawn first,
+    from the labels alone; only those, ``rows`` at most, are sent to where the documents are read.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out("doc_id"))
-    pairs = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(known, "doc_id")
-    drawn = pairs.orderBy(F.xxhash64("text", "doc_id")).limit(rows).select("text", "quality").toPandas()
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    if not ids:
+        return fit([], np.zeros(0))
+    chosen = docs.sparkSession.createDataFrame(ids, known.schema)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    drawn = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
     return fit([t.encode() for t in drawn["text"]], (drawn["quality"] == 1).to_numpy(), seed=seed)
 
 
