@@ -1,23 +1,60 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: quality, lines, near-duplicates, repeated passages, packing.
+
+Each stage works on all that its predecessor kept and is judged on its own input.  All but the last return the columns of
+documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weirflow.llm import simhash
+from weirflow.llm import debruijn, linededup, packing, quality, simhash
 from weirflow.llm.shared import Stage, table
 
 
+def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network rejects (score under 0.3) go; it is fitted on labelled rows of this input."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line makes redundant go; a document keeps its row even if no line is left."""
+    return _as_documents(linededup.dedup(docs), docs)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash near-dedup", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that stand elsewhere too are cut out."""
+    return _as_documents(debruijn.dedup(docs), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids, one row for each piece, with its ids."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("substring dedup", substring_stage),
+    ("packing", packing_stage),
+]
 
-#: No single SQL statement expresses the stages; tests hold them against brute force.
+#: SQL can't express a network, fingerprints' components or packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
