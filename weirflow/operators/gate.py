@@ -97,17 +97,19 @@ def forbidden(f: Facts, p: P.Policy) -> DataFrame:
     for r in p.forbids:
         goals = f.names.where(_in(r.target, F.col("fn"))).select(F.lit(r.raw).alias("raw"), F.col("fn").alias("node"))
         near = verbs.nearest(f.callers.withColumn("raw", F.lit(r.raw)), goals, "raw")
-        again = _back_to_itself(f, goals.select("node"))
-        hit = near.where("hops > 0").select("fn", "source").unionByName(again)
+        hit = near.where("hops > 0").select("fn", "source")
+        both = goals.where(_in(r.source, F.col("node"))).select("node")  # in both scopes: they need a way back
+        if not both.isEmpty():
+            hit = hit.unionByName(_back_to_itself(f, goals.select("node"), both))
         frames.append(hit.where(_in(r.source, F.col("fn"))).join(f.units.select("fn").distinct(), "fn", "left_semi").select(F.lit("AS-EFF-009").alias("rule"), F.lit(r.raw).alias("raw"), "fn", F.lit("").alias("effects"), F.concat(F.lit("via "), F.col("source")).alias("detail")))
     return _union(frames, _none(f))
 
 
-def _back_to_itself(f: Facts, goals: DataFrame) -> DataFrame:
-    """(fn, source): goals that call a goal, directly or not; the least-named of those one call away is given, if any."""
-    steps = f.edges.join(goals, f.edges["src"] == goals["node"]).select("src", "dst")
-    inside = graph.closure(f.callers, goals, seeded=False).select(F.col("node").alias("fn")).join(goals.withColumnRenamed("node", "fn"), "fn", "left_semi").distinct()
-    first = steps.join(goals, steps["dst"] == goals["node"]).groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("source"))
+def _back_to_itself(f: Facts, goals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(fn, source): those of the goals ``asked`` that call a goal, directly or not; the least-named one called directly, if any."""
+    inside = graph.closure(f.callers, goals, seeded=False).select(F.col("node").alias("fn")).join(asked.withColumnRenamed("node", "fn"), "fn", "left_semi").distinct()
+    steps = f.edges.join(asked, F.col("src") == F.col("node"), "left_semi")
+    first = steps.join(goals, F.col("dst") == F.col("node"), "left_semi").groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("source"))
     return inside.join(first, "fn", "left").select("fn", F.coalesce("source", "fn").alias("source"))
 
 
@@ -264,20 +266,20 @@ def fix(f: Facts, query: str, effect: str, p: P.Policy) -> DataFrame:
         return _none(f, "role string, fn string")
     start = verbs.select_one(matches, query)
     carriers = f.inferred.where(F.col("effect") == effect).select("fn")
-    down = f.edges.join(carriers, f.edges["dst"] == carriers["fn"]).select("src", "dst")
+    down = f.edges.join(carriers, F.col("dst") == F.col("fn"), "left_semi")
     seeds = carriers.where(F.col("fn") == start).select(F.col("fn").alias("node")).distinct()
     reached = graph.closure(down, seeds).select(F.col("node").alias("fn")).distinct()
     sites = reached.join(f.direct.where(F.col("effect") == effect).select("fn").distinct(), "fn", "left_semi")
     anchors = sites if not sites.isEmpty() else seeds.withColumnRenamed("node", "fn")
     denied_ = denied_layer(p, effect, F.col("dst"))
-    up = f.callers.join(carriers, f.callers["dst"] == carriers["fn"], "left_semi").withColumn("layer", denied_)
+    up = f.callers.join(carriers, F.col("dst") == F.col("fn"), "left_semi").withColumn("layer", denied_)
     bad, good = up.where("layer is not null").select("src", "dst"), up.where("layer is null").select("src", "dst")
     climb = graph.closure(bad, anchors.select(F.col("fn").alias("node"))).select(F.col("node").alias("fn")).distinct()
     span = climb.where(denied_layer(p, effect, F.col("fn")).isNotNull())
-    hoist = good.join(climb, good["src"] == climb["fn"]).select(F.col("dst").alias("fn")).distinct()
+    hoist = good.join(climb, F.col("src") == F.col("fn")).select(F.col("dst").alias("fn")).distinct()
     above = graph.closure(good, hoist.select(F.col("fn").alias("node"))).select(F.col("node").alias("fn")).distinct()
     higher = above.join(hoist, "fn", "left_anti")
-    caught = bad.join(above, bad["src"] == above["fn"]).select(F.col("dst").alias("fn")).distinct()
+    caught = bad.join(above, F.col("src") == F.col("fn")).select(F.col("dst").alias("fn")).distinct()
     out = [(sites, "site"), (span, "span"), (hoist, "hoist"), (higher, "higher"), (caught, "sandwiched")]
     return reduce(DataFrame.unionByName, [x.select(F.lit(role).alias("role"), "fn") for x, role in out])
 
