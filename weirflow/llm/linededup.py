@@ -12,18 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stage
+from .shared import Stage, scratch
 
 #: Shorter lines are compared exactly; one edit says little about them.
 MIN_FUZZY = 20
 PIECE = 32
 LAST = (1 << 63) - 1
+#: What a line that isn't blank has.
+SOLID = r"[^ \t\r\x0b\x0c]"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(d, no, line): the non-blank lines of each row; d is doc_id, the greatest long where it is null."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
-    return docs.select(d, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "line")).where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
+    return docs.select(d, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "line")).where(F.col("line").rlike(SOLID))
 
 
 def _halves() -> Column:
@@ -48,7 +50,7 @@ def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     halves = _shared_keys(fuzzy.select("h", "g", F.explode("keys").alias("key")))
     kept = halves.select("h", "g").distinct().join(fuzzy, ["h", "g"]).select("h", "g", "n", "d", "no")
     wanted = kept.groupBy("d").agg(F.sort_array(F.collect_set("no")).alias("nos"))
-    some = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).select("d", "text").join(wanted, "d")
+    some = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).select("d", "text").join(wanted.hint("merge"), "d")  # the lists grow with the input: never broadcast
     found = some.select("d", F.split(F.col("text").cast("string"), "\n", -1).alias("all"), "nos").select("d", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("all", i).alias("line")))).alias("x")).select("d", "x.*")
     found = found.where("line is not null").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line").join(kept, ["h", "g"]).dropDuplicates(["h", "g"])
     texts = Stage(found.select("h", "g", "n", "d", "no", "line"), "lines")
@@ -84,6 +86,18 @@ def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("a", "b", 1) >= 0).select("h", "g").distinct()
 
 
+def _gone(docs: DataFrame) -> DataFrame:
+    """(d, gone__nos): the numbers of the lines that each document loses."""
+    all_lines = lines(docs).select("d", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line")
+    keyed = all_lines.select("h", "g", "n", F.struct("d", "no").alias("at"), _halves().alias("keys"))
+    distinct = keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    distinct = Stage(distinct.select("h", "g", "n", "at.d", "at.no", (F.col("at") != F.col("last")).alias("many"), "keys"), "distinct-lines").df
+    near = Stage(near_removed(distinct, docs), "near-lines").df.withColumn("near", F.lit(True))
+    goes = distinct.join(near, ["h", "g"], "left").where("many or near").select("h", "g", F.when(F.col("near").isNull(), F.struct("d", "no")).alias("keep"))
+    gone = all_lines.select("h", "g", F.struct("d", "no").alias("at")).join(goes, ["h", "g"]).where(F.col("keep").isNull() | (F.col("at") != F.col("keep")))
+    return gone.select("at.*").groupBy("d").agg(F.collect_set("no").alias("gone__nos"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` with its lines that an earlier line makes redundant taken out.
 
@@ -93,17 +107,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id stand after all others, as one document; rows that repeat a doc_id count as one document and lose the same
     lines by number.  An empty table gives no rows.
     """
-    all_lines = lines(docs).select("d", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line")
-    keyed = all_lines.select("h", "g", "n", F.struct("d", "no").alias("at"), _halves().alias("keys"))
-    distinct = keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    distinct = Stage(distinct.select("h", "g", "n", "at.d", "at.no", (F.col("at") != F.col("last")).alias("many"), "keys"), "distinct-lines").df
-    near = Stage(near_removed(distinct, docs), "near-lines").df.withColumn("near", F.lit(True))
-    goes = distinct.join(near, ["h", "g"], "left").where("many or near").select("h", "g", F.when(F.col("near").isNull(), F.struct("d", "no")).alias("keep"))
-    gone = all_lines.select("h", "g", F.struct("d", "no").alias("at")).join(goes, ["h", "g"]).where(F.col("keep").isNull() | (F.col("at") != F.col("keep")))
-    gone = Stage(gone.select("at.*").groupBy("d").agg(F.collect_set("no").alias("gone__nos")), "gone-lines").df
-    rows = docs.withColumn("d__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("d", "d__key"), "d__key", "left")
+    with scratch():
+        gone = Stage(_gone(docs), "gone-lines").keep().df
+    rows = docs.withColumn("d__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("d", "d__key").hint("merge"), "d__key", "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    count = F.coalesce(F.size(F.filter(parts, lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")), F.lit(0)).cast("long")
+    count = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(SOLID))), F.lit(0)).cast("long")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone__nos")), lambda i: F.get(parts, i))
     text = F.when(F.col("gone__nos").isNull() | F.col("text").isNull(), F.col("text").cast("string")).otherwise(F.array_join(left, "\n"))
     removed = F.when(F.col("text").isNotNull() & F.col("gone__nos").isNotNull(), F.size(F.array_intersect(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone__nos")))).otherwise(0)

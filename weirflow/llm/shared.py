@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,20 @@ def _drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_scopes: list[list[Stage]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Drops the stages made within at its end, but for those that keep() is called on."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for stage in _scopes.pop():
+            stage.drop()
+
+
 class Stage:
     """A DataFrame cut from its lineage: written to the shared folder as Parquet and read again.
 
@@ -47,6 +62,16 @@ class Stage:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         free_shuffles(self.spark)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def keep(self) -> Stage:
+        """Lets the stage outlive the innermost scratch()."""
+        if _scopes and self in _scopes[-1]:
+            _scopes[-1].remove(self)
+            if len(_scopes) > 1:
+                _scopes[-2].append(self)
+        return self
 
     def drop(self) -> None:
         _drop_path(self.spark, self.path)
