@@ -16,12 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stage, row_slices
+from .shared import Stage, row_slices, scratch
 
+#: Windows that are thinned out together before they are compared one by one.
+BLOCK = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * _A) ^ ((np.arange(1, 257, dtype=np.uint64) * _B) >> np.uint64(23))
 
@@ -150,7 +153,7 @@ def _details(shape: Shape):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 1):
-            cols: list[list] = [[] for _ in range(11)]
+            cols: list[list] = [[] for _ in DETAIL_NAMES]
             for doc, text, chosen in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
                 u = Units(text, shape.words)
                 a = find_anchors(u, shape)
@@ -159,8 +162,10 @@ def _details(shape: Shape):
                     continue
                 s, e, f, t = a.at[i], a.end[i], a.first[i], a.last[i] + shape.window
                 edge = np.fromiter((_hash64(u.cut(x, y)) for x, y in zip(s.tolist(), e.tolist())), np.uint64, len(i))
+                common = shape.window - shape.reach + 1  # units from the anchor that all its windows hold
+                core = np.fromiter((_hash64(u.cut(x, x + common)) for x in s.tolist()), np.uint64, len(i))
                 span = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u.cut(x, y) + b"|%d" % (z - x)) for x, y, z in zip(f.tolist(), t.tolist(), s.tolist())), np.int64).reshape(-1, 2)
-                for c, v in zip(cols, (np.full(len(i), doc, np.int64), i.astype(np.int32), edge.view(np.int64), s, e, f, t, a.node[i].view(np.int64), a.next_node[i].view(np.int64), span[:, 0], span[:, 1])):
+                for c, v in zip(cols, (np.full(len(i), doc, np.int64), i.astype(np.int32), edge.view(np.int64), s, e, f, t, a.node[i].view(np.int64), a.next_node[i].view(np.int64), core.view(np.int64), span[:, 0], span[:, 1])):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], DETAIL_NAMES)
@@ -168,8 +173,29 @@ def _details(shape: Shape):
     return run
 
 
-DETAIL_NAMES = ["uid", "i", "edge", "at", "end", "lo", "hi", "node", "next_node", "s1", "s2"]
-DETAIL_SCHEMA = "uid long, i int, edge long, at long, end long, lo long, hi long, node long, next_node long, s1 long, s2 long"
+DETAIL_NAMES = ["uid", "i", "edge", "at", "end", "lo", "hi", "node", "next_node", "core", "s1", "s2"]
+DETAIL_SCHEMA = "uid long, i int, edge long, at long, end long, lo long, hi long, node long, next_node long, core long, s1 long, s2 long"
+
+
+def _blocks(shape: Shape):
+    """A row for each BLOCK neighbouring windows of an anchor: hashes of the units that all of them hold, and of all they span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 1, 1 << 20):
+            for doc, text, chosen in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
+                u, out = Units(text, shape.words), []
+                for c in chosen:
+                    at, first, last = c["at"], c["lo"], c["hi"] - shape.window
+                    for b in range((at - last) // BLOCK, (at - first) // BLOCK + 1):
+                        high = at - BLOCK * b  # the block's last start; blocks are counted from the anchor
+                        low, top = max(first, high - BLOCK + 1), min(last, high)
+                        key = xxhash.xxh3_64_digest(u.cut(high, high - BLOCK + 1 + shape.window) + b"|%d" % b)
+                        span = xxhash.xxh3_128_digest(u.cut(low, top + shape.window) + b"|%d" % (at - low))
+                        out.append((key + span, low, top, c["single"]))
+                w = np.frombuffer(b"".join(x[0] for x in out), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(w[:, k])) for k in range(3)), pa.array(np.full(len(out), doc, np.int64)), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.bool_())], ["core", "s1", "s2", "uid", "first", "last", "single"])
+
+    return run
 
 
 def _windows(shape: Shape):
@@ -177,10 +203,8 @@ def _windows(shape: Shape):
         for part in row_slices(batches, 1, 1 << 20):
             for doc, text, chosen in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
                 u = Units(text, shape.words)
-                for at in range(0, len(chosen), 200):
-                    out: list[tuple] = []
-                    for c in chosen[at : at + 200]:
-                        out.extend((x, c["single"]) for x in range(c["lo"], c["hi"] - shape.window + 1))
+                for k in range(0, len(chosen), 500):
+                    out = [(x, c["single"]) for c in chosen[k : k + 500] for x in range(c["first"], c["last"] + 1)]
                     w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u.cut(x, x + shape.window)) for x, _ in out), np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(len(out), doc, np.int64)), pa.array([x for x, _ in out], pa.int64()), pa.array([s for _, s in out], pa.bool_())], ["w1", "w2", "uid", "x", "single"])
 
@@ -199,44 +223,70 @@ def repeated(docs: DataFrame, shape: Shape, method: Callable[[DataFrame, int], D
     ``method`` gets the candidate anchors (DETAIL_SCHEMA) and gives stretches (uid, lo, hi) of units that occur, at the
     same offsets, at another place too.
     """
-    texts = keyed(docs)
+    with scratch():
+        return Stage(_repeated(keyed(docs), shape, method), "spans").keep().df
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The rows (w1, w2, single) whose key has two rows or more, one of them single."""
+    shared = rows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.max("single").alias("s")).where("c > 1 and s").select("w1", "w2")
+    return rows.join(shared, ["w1", "w2"], "left_semi")
+
+
+def _repeated(texts: DataFrame, shape: Shape, method: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     edges = Stage(texts.mapInArrow(_edges(shape), "uid long, i int, edge long"), "edges")
     many = edges.df.groupBy("edge").count().where("count > 1").select("edge")
     chosen = edges.df.join(many, "edge", "left_semi").groupBy("uid").agg(F.collect_set("i").alias("chosen"))
-    found = Stage(texts.join(chosen, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors")
+    chosen = Stage(chosen, "chosen")
     edges.drop()
-    stretches = Stage(method(found.df, shape.window).where(F.col("hi") - F.col("lo") >= shape.window), "stretches").df
+    found = Stage(texts.join(chosen.df, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors")
+    chosen.drop()
+    with scratch():
+        stretches = Stage(method(found.df, shape.window).where(F.col("hi") - F.col("lo") >= shape.window), "stretches").keep().df
     # anchors whose windows all lie in a stretch are settled
     held = stretches.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("st"))
     rest = found.df.join(held, "uid", "left").withColumn("settled", F.coalesce(F.exists("st", lambda s: (s["lo"] <= F.col("lo")) & (s["hi"] >= F.col("hi"))), F.lit(False)))
-    rest = Stage(rest.select("uid", "i", "edge", "lo", "hi", "s1", "s2", "settled"), "rest").df
-    classes = rest.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("edge").alias("edge"), F.min(F.struct("uid", "i", "lo", "hi")).alias("one"), F.min("settled").alias("settled"))
+    rest = Stage(rest.select("uid", "i", "at", "core", "lo", "hi", "s1", "s2", "settled"), "rest").df
+    classes = rest.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("uid", "i", "at", "lo", "hi")).alias("one"), F.min("settled").alias("settled"))
     classes = Stage(classes, "classes").df
     whole = rest.where("not settled").join(classes.where("n > 1").select("s1", "s2"), ["s1", "s2"]).select("uid", "lo", "hi")
-    # edges with an open class and several classes: compare window by window, one place a class
-    varied = classes.groupBy("edge").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("settled")).alias("open")).where("k > 1 and open").select("edge")
-    asked = classes.join(varied, "edge").select("one.*", ((F.col("n") == 1) & ~F.col("settled")).alias("single"))
-    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("asked"))
+    # cores with an open class and several classes: compare block by block and window by window, one place a class
+    varied = classes.groupBy("core").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("settled")).alias("open")).where("k > 1 and open").select("core")
+    asked = classes.join(varied, "core").select("one.*", ((F.col("n") == 1) & ~F.col("settled")).alias("single"))
+    if shape.reach > BLOCK:
+        asked = asked.groupBy("uid").agg(F.collect_list(F.struct("at", "lo", "hi", "single")).alias("asked"))
+        blocks = Stage(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_blocks(shape), "core long, s1 long, s2 long, uid long, first long, last long, single boolean"), "blocks").df
+        classes = blocks.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("uid", "first", "last")).alias("one"), F.max("single").alias("single"))
+        classes = Stage(classes, "classes").df
+        whole = whole.union(blocks.where("single").join(classes.where("n > 1").select("s1", "s2"), ["s1", "s2"]).select("uid", "first", (F.col("last") + shape.window).alias("hi")))
+        varied = classes.groupBy("core").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & F.col("single")).alias("open")).where("k > 1 and open").select("core")
+        asked = classes.join(varied, "core").select("one.*", ((F.col("n") == 1) & F.col("single")).alias("single"))
+    else:
+        asked = asked.select("uid", F.col("lo").alias("first"), (F.col("hi") - shape.window).alias("last"), "single")
+    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "single")).alias("asked"))
     windows = Stage(texts.join(asked, "uid").select("uid", "text", "asked").mapInArrow(_windows(shape), "w1 long, w2 long, uid long, x long, single boolean"), "windows")
-    shared = windows.df.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.max("single").alias("s")).where("c > 1 and s").select("w1", "w2")
-    single = windows.df.where("single").join(shared, ["w1", "w2"]).select("uid", F.col("x").alias("lo"), (F.col("x") + shape.window).alias("hi"))
-    runs = single.groupBy("uid").agg(F.collect_set("lo").alias("starts"))
+    runs = _meeting(windows.df).where("single").groupBy("uid").agg(F.collect_set("x").alias("starts"))
     found_runs = whole.union(stretches.select("uid", "lo", "hi")).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("wide"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     narrow = F.transform("starts", lambda x: F.struct(x.alias("lo"), (x + shape.window).alias("hi")))
-    out = found_runs.join(runs, "uid", "full_outer").select("uid", F.concat(F.coalesce("wide", none), F.coalesce(narrow, none)).alias("spans"))
-    return Stage(out, "spans").df
+    return found_runs.join(runs, "uid", "full_outer").select("uid", F.concat(F.coalesce("wide", none), F.coalesce(narrow, none)).alias("spans"))
 
 
-def merge_runs(spans: list[dict] | None) -> np.ndarray:
+def merge_runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """(n, 2): maximal disjoint runs, in order; runs that touch are one."""
-    out: list[list[int]] = []
-    for s in sorted((s["lo"], s["hi"]) for s in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return np.array(out, np.int64).reshape(-1, 2)
+    if not len(lo):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    new = np.append(True, lo[1:] > top[:-1])
+    return np.stack([lo[new], top[np.append(new[1:], True)]], axis=1)
+
+
+def _runs(col: pa.ListArray) -> list[np.ndarray]:
+    flat = col.flatten()
+    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    ends = np.cumsum(np.append(0, pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)))
+    return [merge_runs(lo[a:b], hi[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def apply_runs(docs: DataFrame, spans: DataFrame, change: Callable, added: str) -> DataFrame:
@@ -250,7 +300,7 @@ def apply_runs(docs: DataFrame, spans: DataFrame, change: Callable, added: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 0):
-            rows = [change(t, merge_runs(s)) for t, s in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist())]
+            rows = [change(t, r) for t, r in zip(part.column(0).cast(pa.binary()).to_pylist(), _runs(part.column(1)))]
             yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*kept, *names])
 
     joined = docs.withColumn("uid__", uid).join(spans.withColumnRenamed("uid", "uid__"), "uid__", "left")

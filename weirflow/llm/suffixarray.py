@@ -7,7 +7,8 @@ suffixes at places 0 (mod 3) are merged in, since from any two places one can st
 ones.  Neighbours in the order are compared letter by letter; what they share is a stretch of bytes that repeats.  The
 bytes just before and after such stretches are settled window by window.
 
-Order is only needed over a window's length, so the recursion ends after ``DEPTH`` levels, when names cover 27 letters.
+Order is only needed over the letters that neighbours are compared by, so the recursion ends after ``DEPTH`` levels, when
+names cover more than those.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ from .shared import Stage, group_runs
 
 WINDOW = 400
 SHAPE = spans.Shape(window=WINDOW, gram=24, reach=188, words=False)
-DEPTH = 2
-#: Letters that neighbours are compared over, and suffixes that a task merges at a time.
+#: Letters that neighbours are compared over, and levels of names: one level covers nine letters.
 COMPARE = 8
+DEPTH = 1
+#: Suffixes that a task merges at a time.
 BUCKET = 50_000
 #: Bound of the suffixes that the driver draws to divide the order.
 SPLITTERS = 65_536
@@ -41,7 +44,9 @@ def shape_for(window: int) -> spans.Shape:
 
 
 def _lists(col: pa.Array) -> list[np.ndarray]:
-    flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in col)])
+    """The arrays of a column of lists; null lists are empty."""
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.append(0, pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)))
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
@@ -83,11 +88,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that are merged: each place with its next letters and the ranks of the sampled places from there on."""
     for b in batches:
         cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for uid, c, at, rank in zip(b.column(0).to_pylist(), _lists(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for uid, c, at, rank in zip(b.column(0).to_pylist(), *(_lists(b.column(k)) for k in range(1, 4))):
             n = len(c)
             s, r = np.append(c, [SEP, SEP, SEP]), np.full(n + 3, -1, np.int64)
-            if at:
-                r[np.array(at)] = rank
+            r[at.astype(np.int64)] = rank
             p = np.flatnonzero(c != SEP)
             ended = s[p + 1] == SEP
             for x, v in zip(cols, (np.full(len(p), uid), p, p % 3, s[p], s[p + 1], r[p], np.where(ended, -1, r[p + 1]), np.where(ended, -1, r[p + 2]))):
@@ -182,16 +186,16 @@ def sampled_ranks(strings: DataFrame, depth: int) -> DataFrame:
     return named.join(ranks, ["uid", "q"]).select("uid", "p", "rank")
 
 
-def _rows(strings: DataFrame, depth: int) -> DataFrame:
-    ranks = sampled_ranks(strings, depth).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("p", "rank"))).alias("pr"))
-    joined = strings.join(ranks, "uid", "left").select("uid", "c", "pr.p", "pr.rank")
-    return joined.mapInArrow(_suffixes, ", ".join(f"{f} long" for f in FIELDS))
+def _with_ranks(strings: DataFrame, depth: int) -> DataFrame:
+    ranks = sampled_ranks(strings.select("uid", "c"), depth).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("p", "rank"))).alias("pr"))
+    rest = [c for c in strings.columns if c not in ("uid", "c")]
+    return strings.join(ranks, "uid", "left").select("uid", "c", "pr.p", "pr.rank", *rest)
 
 
 def suffix_ranks(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(uid, p, rank) of every place of ``strings`` (uid, c array<long>): its suffix's rank in the order of all suffixes."""
     strings = Stage(strings, "strings").df
-    rows = Stage(_rows(strings, depth), "suffixes").df
+    rows = Stage(_with_ranks(strings, depth).mapInArrow(_suffixes, ", ".join(f"{f} long" for f in FIELDS)), "suffixes").df
     return _bucketed(rows).mapInArrow(_ranked, "uid long, p long, rank long")
 
 
@@ -211,29 +215,40 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(at), pa.array(ends[hit, most[hit] - 1])], ["uid", "lo", "hi"])
 
 
-def _with_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes with the bytes where they start, their next letters, and the bytes where those end."""
     for b in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for uid, p, edge, at, end in zip(b.column(0).to_pylist(), *(_lists(b.column(k)) for k in range(1, 5))):
-            n = int(p.max()) + 1 + COMPARE
-            c, e = np.full(n, SEP, np.int64), np.zeros(n, np.int64)
-            c[p], e[p] = edge, end
+        base = next(_suffixes(iter([b])))
+        out: list[list[np.ndarray]] = [[] for _ in range(3)]
+        for c, at, end in zip(_lists(b.column(1)), _lists(b.column(4)), _lists(b.column(5))):
+            p = np.flatnonzero(c != SEP)
             pick = p[:, None] + np.arange(COMPARE)
-            for x, v in zip(out, (np.full(len(p), uid), p, at, c[pick].reshape(-1), e[pick].reshape(-1))):
-                x.append(v)
-        uid, p, at, c, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            for x, v in zip(out, (at[p], np.append(c, [SEP] * COMPARE)[pick], np.append(end, [0] * COMPARE)[pick])):
+                x.append(v.reshape(-1))
+        at, c, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         step = pa.array(np.arange(0, len(c) + 1, COMPARE), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(p), pa.array(at), pa.ListArray.from_arrays(step, pa.array(c)), pa.ListArray.from_arrays(step, pa.array(e))], ["uid", "p", "at", "letters", "ends"])
+        yield pa.RecordBatch.from_arrays([*base.columns, pa.array(at), pa.ListArray.from_arrays(step, pa.array(c)), pa.ListArray.from_arrays(step, pa.array(e))], [*FIELDS, "at", "letters", "ends"])
+
+
+def _placed_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, c, at, end) of (uid, p, edge, at, end): arrays by place, separators and zeros where a place is missing."""
+    for b in batches:
+        out: list[list[np.ndarray]] = [[], [], []]
+        for p, *values in zip(*(_lists(b.column(k)) for k in range(1, 5))):
+            for x, v, filler in zip(out, values, (SEP, 0, 0)):
+                row = np.full(int(p.max()) + 1, filler, np.int64)
+                row[p] = v
+                x.append(row)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in out)], ["uid", "c", "at", "end"])
 
 
 def _stretches(found: DataFrame, window: int) -> DataFrame:
-    one = found.select("uid", F.col("i").cast("long").alias("p"), "edge", "at", "end").distinct()
-    strings = Stage(_strings(one, "p", "edge"), "strings").df
-    rows = Stage(_rows(strings, DEPTH), "suffixes").df
-    lists = F.sort_array(F.collect_list(F.struct("p", "edge", "at", "end")))
-    letters = one.groupBy("uid").agg(lists.alias("x")).select("uid", "x.p", "x.edge", "x.at", "x.end").mapInArrow(_with_letters, "uid long, p long, at long, letters array<long>, ends array<long>")
-    full = Stage(rows.join(letters, ["uid", "p"]).select(*FIELDS, "at", "letters", "ends"), "lettered").df
-    return _bucketed(full).mapInArrow(_neighbours, "uid long, lo long, hi long")
+    lists = F.sort_array(F.collect_set(F.struct(F.col("i").cast("long").alias("p"), "edge", "at", "end")))
+    placed = found.groupBy("uid").agg(lists.alias("x")).select("uid", "x.p", "x.edge", "x.at", "x.end")
+    strings = Stage(placed.mapInArrow(_placed_string, "uid long, c array<long>, at array<long>, end array<long>"), "strings").df
+    schema = ", ".join([*(f"{f} long" for f in FIELDS), "at long", "letters array<long>", "ends array<long>"])
+    rows = Stage(_with_ranks(strings, DEPTH).mapInArrow(_lettered, schema), "suffixes").df
+    return _bucketed(rows).mapInArrow(_neighbours, "uid long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
