@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,17 @@ from .tokens import vocabulary_path
 
 MARK = "▁"
 SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: The same, cut before a stop that follows a letter too; right where no piece has such a pair.
+LETTER, STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:"
+_GO_ON = f"(?:[^{MARK}\n{STOP}]|(?<![{LETTER}])[{STOP}])*"
+FINE_SEGMENT = re.compile(f"\n|{MARK}+{_GO_ON}|[^{MARK}\n]{_GO_ON}")
 #: Segments of up to this many characters are handled many at a time, longer ones one by one.
 LANE = 40
-#: Decided segments that a Python worker remembers; when full, it starts anew.
-MEMORY = 400_000
+#: Decided segments that a Python worker remembers in each of two generations.
+MEMORY = 300_000
 UNKNOWN_PENALTY = 10.0
 _MUL = 0x9E3779B97F4A7C15
+_LOW = np.uint64((1 << 20) - 1)
 
 
 @dataclass
@@ -42,7 +48,11 @@ class Pieces:
     longest: int
     by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     names: list[str]
-    raw: list[bytes]
+    raw: np.ndarray  # the bytes of all pieces, marks as spaces, and where each begins and how long it is
+    raw_start: np.ndarray
+    raw_size: np.ndarray
+    segment: re.Pattern
+    maybe: list[np.ndarray]  # for each length, which low bits of a hash some piece has
 
 
 @functools.cache
@@ -63,7 +73,14 @@ def load(path: str) -> Pieces:
         h = _hashes(_codes(own, k), k)[k][:, -1] if own else np.zeros(0, np.uint64)
         o = np.argsort(h)
         by_length.append((h[o], np.array([score[p] for p in own])[o], np.array([ids[p] for p in own], np.int32)[o]))
-    return Pieces(ids, score, [ids_b for _, ids_b in sorted((b, i) for i, b in byte_of.items())], min(score.values()) - UNKNOWN_PENALTY, len(by_length), by_length, names, [bytes((byte_of[i],)) if i in byte_of else names[i].encode() for i in range(n)])
+    pair = re.compile(f"[{LETTER}][{STOP}]")
+    maybe = [np.zeros(int(_LOW) + 1, bool) for _ in by_length]
+    for m, (h, _, _) in zip(maybe, by_length):
+        m[h & _LOW] = True
+    raw = [bytes((byte_of[i],)) if i in byte_of else names[i].replace(MARK, " ").encode() for i in range(n)]
+    size = np.array([len(r) for r in raw])
+    bytes_first = [i for _, i in sorted((b, i) for i, b in byte_of.items())]
+    return Pieces(ids, score, bytes_first, min(score.values()) - UNKNOWN_PENALTY, len(by_length), by_length, names, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, SEGMENT if any(pair.search(p) for p in ids) else FINE_SEGMENT, maybe)
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -92,10 +109,14 @@ def _matches(v: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k, h in _hashes(codes, min(v.longest, width)).items():
         known, s, i = v.by_length[k - 1]
         if len(known):
-            at = np.minimum(np.searchsorted(known, h[:, k - 1 :]), len(known) - 1)
-            hit = known[at] == h[:, k - 1 :]
-            score[k - 1][:, k - 1 :] = np.where(hit, s[at], -np.inf)
-            ident[k - 1][:, k - 1 :] = np.where(hit, i[at], -1)
+            row, place = np.nonzero(v.maybe[k - 1][h[:, k - 1 :] & _LOW])
+            place += k - 1
+            own = h[row, place]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            row, place, at = row[hit], place[hit], at[hit]
+            score[k - 1][row, place] = s[at]
+            ident[k - 1][row, place] = i[at]
     alone = ident[0] < 0
     score[0][alone] = v.unknown
     return score, ident
@@ -120,9 +141,12 @@ def encode_many(v: Pieces, words: list[str]) -> list[list[int]]:
         back = np.zeros((n, width + 1), np.int8)
         for t in range(1, width + 1):
             for k in range(min(v.longest, t), 0, -1):
-                new, count = best[:, t - k] + match[k - 1][:, t - 1], pieces[:, t - k] + 1
-                win = (new > -np.inf) & _better(best[:, t], pieces[:, t], new, count)
-                best[win, t], pieces[win, t], back[win, t] = new[win], count[win], k
+                fits = np.flatnonzero(match[k - 1][:, t - 1] > -np.inf)
+                if len(fits):
+                    new, count = best[fits, t - k] + match[k - 1][fits, t - 1], pieces[fits, t - k] + 1
+                    win = (new > -np.inf) & _better(best[fits, t], pieces[fits, t], new, count)
+                    rows = fits[win]
+                    best[rows, t], pieces[rows, t], back[rows, t] = new[win], count[win], k
         picked = np.take_along_axis(ident, np.maximum(back[None, :, 1:].astype(np.int64) - 1, 0), axis=0)[0].tolist()
         back_list = back.tolist()
         for place, w, b, p in zip(order[s:], part, back_list, picked):
@@ -199,9 +223,9 @@ def encode_one(v: Pieces, segment: str) -> list[int]:
     return machine.feed(segment) + machine.finish()
 
 
-def segments(text: str | None) -> list[str]:
+def segments(text: str | None, at: re.Pattern = SEGMENT) -> list[str]:
     """The text with space marks, one before the first character, cut where all paths meet; null and empty: none."""
-    return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+    return at.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def trie_counts(v: Pieces, words: list[str]) -> np.ndarray:
@@ -253,17 +277,30 @@ def trie_counts(v: Pieces, words: list[str]) -> np.ndarray:
     return out
 
 
-def _known(texts: list[list[str]], memory: dict, decide) -> None:
-    """Adds what ``memory`` lacks: ``decide`` gets sorted distinct short segments, and then long ones one by one."""
-    fresh = {s for t in texts for s in t if s not in memory}
-    if len(memory) + len(fresh) > MEMORY:
-        memory.clear()
-        fresh = {s for t in texts for s in t}
-    memory.update(decide(sorted(s for s in fresh if len(s) <= LANE), [s for s in fresh if len(s) > LANE]))
+class Memory:
+    """What has been decided for segments.  When the young generation is full it becomes the old one, from which segments
+    that come again are taken back; the rest is forgotten at the next turn."""
 
+    def __init__(self):
+        self.young, self.old = {}, {}
 
-_counts: dict[str, dict[str, int]] = {}
-_ids: dict[str, dict[str, list[int]]] = {}
+    def know(self, texts: list[list[str]], decide) -> None:
+        """Afterwards ``young`` has all segments of ``texts``: ``decide`` gets the new ones, short sorted ones and long ones."""
+        wanted = set().union(*texts)
+        if len(self.young) + len(wanted) > MEMORY and self.young:
+            self.young, self.old = {}, self.young
+        fresh, young, old = [], self.young, self.old
+        for s in wanted:
+            if s not in young:
+                if s in old:
+                    young[s] = old[s]
+                else:
+                    fresh.append(s)
+        young.update(decide(sorted(s for s in fresh if len(s) <= LANE), [s for s in fresh if len(s) > LANE]))
+
+
+_counts: dict[str, Memory] = {}
+_ids: dict[str, Memory] = {}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -275,7 +312,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memory = load(path), _counts.setdefault(path, {})
+        v, memory = load(path), _counts.setdefault(path, Memory())
 
         def decide(short: list[str], long: list[str]) -> dict[str, int]:
             out = dict(zip(short, trie_counts(v, short).tolist())) if short else {}
@@ -283,40 +320,62 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         for part in row_slices(batches, 1):
             texts = part.column(1).to_pylist()
-            cut = [segments(t) for t in texts]
-            _known(cut, memory, decide)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([len(c) for c in cut], pa.int64()), pa.array([sum(map(memory.__getitem__, c)) for c in cut], pa.int64())], ["doc_id", "n_chars", "n_pretokens", "n_tokens"])
+            cut = [segments(t, v.segment) for t in texts]
+            memory.know(cut, decide)
+            count = memory.young.__getitem__
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([sum(s[0] == MARK for s in c) for c in cut], pa.int64()), pa.array([sum(map(count, c)) for c in cut], pa.int64())], ["doc_id", "n_chars", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_chars long, n_pretokens long, n_tokens long")
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, ids (array of int) of the whole text.  Null texts have no ids."""
+def _encoder(v: Pieces, memory: Memory) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+    """Gives the ids of all texts in one array, and where each text's begin and end."""
+
+    def decide(short: list[str], long: list[str]) -> dict[str, bytes]:
+        ids = {**dict(zip(short, encode_many(v, short))), **{s: encode_one(v, s) for s in long}}
+        return {s: array("i", i).tobytes() for s, i in ids.items()}
+
+    def run(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [segments(t, v.segment) for t in texts]
+        memory.know(cut, decide)
+        packed = [b"".join(map(memory.young.__getitem__, c)) for c in cut]
+        return np.frombuffer(b"".join(packed), np.int32), np.cumsum([0, *(len(p) // 4 for p in packed)])
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, ids (array of int) of the whole text, and with ``decoded`` what they decode to.
+
+    Null and empty texts have no ids, which decode to an empty text.  Repeated rows are encoded each; further columns are
+    ignored; an empty table gives no rows.
+    """
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
+    names = ["doc_id", "ids", *["text"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memory = load(path), _ids.setdefault(path, {})
+        v = load(path)
+        encoder = _encoder(v, _ids.setdefault(path, Memory()))
+        for part in row_slices(batches, 1, 1 << 20):
+            flat, ends = encoder(part.column(1).to_pylist())
+            text = [pa.array(decode_many(v, flat, ends), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *text], names=names)
 
-        def decide(short: list[str], long: list[str]) -> dict[str, list[int]]:
-            return dict(zip(short, encode_many(v, short))) | {s: encode_one(v, s) for s in long}
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
-        for part in row_slices(batches, 1):
-            cut = [segments(t) for t in part.column(1).to_pylist()]
-            _known(cut, memory, decide)
-            flat: list[int] = []
-            ends = [0]
-            for c in cut:
-                for s in c:
-                    flat += memory[s]
-                ends.append(len(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+def decode_many(v: Pieces, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The text of each run of ids: pieces joined, byte pieces read as UTF-8, marks as spaces, without the first space."""
+    size = v.raw_size[flat]
+    stop = np.append(0, np.cumsum(size))
+    at = np.repeat(v.raw_start[flat] - stop[:-1], size) + np.arange(stop[-1])
+    data = v.raw[at].tobytes()
+    cut = stop[ends].tolist()
+    return [data[a + 1 : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
 
 
 def decode_ids(v: Pieces, ids: list[int]) -> str:
-    """The text of ``ids``: pieces joined, byte pieces read as UTF-8, marks as spaces, without the first space."""
-    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
+    return decode_many(v, np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
