@@ -165,4 +165,15 @@ SQL: dict[str, str] = {
         split_part(fn, '::', 3) AS method, split_part(fn, '::', 1) || '::' || split_part(fn, '::', 2) AS type, 'app' AS module, replace(fn, '::', ' ') AS tokens, false AS test FROM units""",
     "scalar_reasons": f"{_NOW} SELECT fn, {_CLASS} AS class FROM reasons",
     "scalar_tokens": "SELECT p_partkey, lower(p_name) AS tokens, CASE WHEN p_name LIKE '%widget' THEN 'widget' WHEN p_name LIKE '%bolt' THEN 'bolt' END AS hit FROM part",
+    "net_destinations": f"""{_NOW}, reached AS (SELECT fn, value FROM literals WHERE kind = 'hosts' UNION SELECT e.src, r.value FROM reached r JOIN edges e ON e.dst = r.fn)
+        SELECT DISTINCT i.fn, CASE WHEN r.value LIKE '%.example.org' OR r.value = 'example.org' THEN 'known-partner' WHEN r.value LIKE '%.example.net' OR r.value = 'example.net' THEN 'known-telemetry' ELSE 'unknown-host' END AS class
+        FROM inferred i LEFT JOIN reached r ON r.fn = i.fn WHERE i.effect = 'Net'""",
+    "capability_conformance": f"""{_NOW}, d AS (SELECT fn FROM units WHERE fn LIKE 'app::nation%' OR fn LIKE 'app::region%'), has AS (SELECT d.fn, i.effect FROM d JOIN inferred i USING (fn))
+        SELECT 'AS-EFF-001' AS rule, fn, string_agg(effect, ',' ORDER BY effect) AS effects FROM has WHERE effect NOT IN ('Net', 'Db', 'Unknown') AND fn LIKE 'app::nation%' GROUP BY fn
+        UNION ALL SELECT 'AS-EFF-002', d.fn, string_agg(e, ',' ORDER BY e) FROM d, (VALUES ('Net'), ('Db')) v(e) WHERE (d.fn, e) NOT IN (SELECT (fn, effect) FROM has) GROUP BY d.fn
+        UNION ALL SELECT 'AS-EFF-003', fn, 'Unknown' FROM has WHERE effect = 'Unknown' AND fn LIKE 'app::nation%'""",
+    "coverage_delta": "WITH a AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size <= 3), b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size >= 48) SELECT name, 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT name, 'removed' FROM (FROM b EXCEPT FROM a)",
+    "twin_names": "SELECT p_name AS fn, count(DISTINCT p_partkey)::BIGINT AS units FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1",
+    "accept_proposals": f"{_NOW} SELECT 'accept ' || fn || ' ' || string_agg(effect, ' ' ORDER BY effect) || ' for deny Net Db app::nation because agreed' AS line FROM inferred WHERE fn LIKE 'app::nation%' AND effect IN ('Net', 'Db') GROUP BY fn",
+    "first_broken_rule": f"""{_NOW} SELECT fn, CASE WHEN fn LIKE 'app::nation%' AND bool_or(effect = 'Db') THEN 'deny Db app::nation' WHEN bool_or(effect = 'Net') THEN 'deny Net' ELSE 'pure app' END AS raw FROM inferred WHERE effect <> 'Unknown' GROUP BY fn""",
 }

@@ -332,3 +332,50 @@ def manifest_digest(spark, sf):
     rows = facts(spark, sf).units.where("fn like 'app::region%' or fn like 'app::nation%'")
     per = rows.groupBy(F.substring_index("fn", "::", 2).alias("module")).agg(F.sort_array(F.collect_set("fn")).alias("all"))
     return per.select("module", scalars.fnv1a(F.col("all")).cast("string").alias("digest"))
+
+
+@query
+def net_destinations(spark, sf):
+    """Where units that perform Net go, by a table of two domains."""
+    table = F.create_map(F.lit("example.org"), F.lit("known-partner"), F.lit("example.net"), F.lit("known-telemetry"))
+    return verbs.net_classes(facts(spark, sf), table)
+
+
+@query
+def capability_conformance(spark, sf):
+    """Nations and regions declare Net and Db."""
+    f = facts(spark, sf)
+    declared = f.units.where("fn like 'app::nation%' or fn like 'app::region%'").select("fn", F.array(F.lit("Net"), F.lit("Db")).alias("declared"))
+    return gate.conformance(declared, f, strict_scope="nation").select("rule", "fn", "effects")
+
+
+@query
+def coverage_delta(spark, sf):
+    """Brands of small parts against those of large ones."""
+    part = bridge.table(spark, sf, "part").withColumnRenamed("p_brand", "name")
+    return snapshots.coverage_delta(part.where("p_size <= 3"), part.where("p_size >= 48"))
+
+
+@query
+def twin_names(spark, sf):
+    """Part names as units, their keys as hashes."""
+    units = bridge.table(spark, sf, "part").select(F.col("p_name").alias("fn"), F.col("p_partkey").cast("string").alias("hash"))
+    return gate.twin_names(units)
+
+
+@query
+def accept_proposals(spark, sf):
+    f = facts(spark, sf)
+    return gate.proposals(gate.denied(f, P.parse("deny Net Db app::nation")), "agreed")
+
+
+@query
+def first_broken_rule(spark, sf):
+    hits = gate.effect_hits(facts(spark, sf), P.parse("deny Db app::nation\ndeny Net\npure app")).where("state = 'hit'")
+    return gate.first_rule(hits.select("fn", "raw", "order").distinct())
+
+
+@query
+def explain_unit(spark, sf):
+    """For each effect of a region the shortest chain to a unit that performs it."""
+    return verbs.explain(facts(spark, sf), "app::region::r1")
