@@ -51,9 +51,11 @@ def compact(edges: DataFrame) -> DataFrame:
 def walks(found: DataFrame) -> DataFrame:
     """(uid, path, a, b, lo, hi): each text's walks along compacted paths, from place a to b, words lo to hi."""
     edges = Stage(found.groupBy("edge").agg(F.min("node").alias("node"), F.min("next_node").alias("next_node")), "graph")
-    on = found.select("uid", "i", "edge", "at", "end").distinct().join(compact(edges.df), "edge")
+    on = found.select("uid", "i", "edge", "at", "end").join(compact(edges.df), "edge")
     order = Window.partitionBy("uid").orderBy("i")
-    go_on = (F.lag("i").over(order) == F.col("i") - 1) & (F.lag("path").over(order) == F.col("path")) & (F.lag("place").over(order) == F.col("place") - 1)
+    before = F.lag("i").over(order)
+    # a repeated row lists each of its edges again
+    go_on = (before == F.col("i")) | ((before == F.col("i") - 1) & (F.lag("path").over(order) == F.col("path")) & (F.lag("place").over(order) == F.col("place") - 1))
     cut = on.withColumn("new", F.when(go_on, 0).otherwise(1)).withColumn("walk", F.sum("new").over(order))
     return cut.groupBy("uid", "walk").agg(F.min("path").alias("path"), F.min("place").alias("a"), F.max("place").alias("b"), F.min("at").alias("lo"), F.max("end").alias("hi"))
 

@@ -25,7 +25,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", -1), "")
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("kept_sha256"))
 
 
