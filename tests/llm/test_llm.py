@@ -261,6 +261,27 @@ def test_line_dedup(spark, odd, nothing):
     assert not linededup.dedup(nothing).collect()
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    import xxhash
+
+    line = "a line that is long enough to be compared one edit apart"
+    docs = [(None, "A1\nunique"), (None, "B1\nA1"), (None, "A1\nunique"), (None, line + "\nx"), (None, line.replace("long", "lung") + "\ny"), (None, None), (None, ""), (None, "\n\n"), (7, "A2\nmine"), (7, "A2\nhers"), (7, "C2\nA2\n\nA2"), (7, "C2\nA2\n\nA2"), (8, "hers\nnew"), (8, line.replace("edit", "edits"))]
+    docs += [(None, f"common\nown {i}") for i in range(20)]
+    place, order = Counter(), []
+    for k, (d, t) in enumerate(docs):
+        h = xxhash.xxh64((t or "").encode(), seed=42).intdigest()
+        order.append(((1 << 63) - 1 if d is None else d, h - (1 << 64) * (h >> 63), place[(d, t)], k))
+        place[(d, t)] += 1
+    ranked = [(r, docs[k][1]) for r, (*_, k) in enumerate(sorted(order))]
+    by_rank = brute_lines(ranked)
+    want = Counter((docs[k][0], t if t is None else by_rank[(r, t)]) for (r, t), (*_, k) in zip(ranked, sorted(order)))
+    rows = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == want
+    assert sum("unique" in (r["text"] or "") for r in rows) == 1 and sum("common" in (r["text"] or "") for r in rows) == 1
+    solid = lambda t: sum(bool(x.strip(" \t\r\x0b\x0c")) for x in (t or "").split("\n"))
+    assert all(r["n_lines"] - r["n_removed"] == solid(r["text"]) for r in rows)
+
+
 def test_line_dedup_equals_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     theirs = duckdb.sql(oracles.SQL["op5_line_dedup"]).fetchall()

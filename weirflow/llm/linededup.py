@@ -9,7 +9,7 @@ Groups are settled by their minima, so that no pairs are listed; the edit distan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Stage, scratch
@@ -22,10 +22,15 @@ LAST = (1 << 63) - 1
 SOLID = r"[^ \t\r\x0b\x0c]"
 
 
+def _row() -> tuple[Column, Column]:
+    """What tells rows apart: doc_id, the greatest long where it is null, and the text's hash.  Equal rows share both."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(d, no, line): the non-blank lines of each row; d is doc_id, the greatest long where it is null."""
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
-    return docs.select(d, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "line")).where(F.col("line").rlike(SOLID))
+    """(d, t, no, line): the non-blank lines of each row, which d and t stand for."""
+    d, t = _row()
+    return docs.select(d.alias("d"), t.alias("t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "line")).where(F.col("line").rlike(SOLID))
 
 
 def _halves() -> Column:
@@ -45,15 +50,16 @@ def _shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, g) of the distinct lines (h, g, n, d, no, keys) that stand one edit from a line whose first place is earlier."""
+    """(h, g) of the distinct lines (h, g, n, d, t, no, keys) that stand one edit from a line whose first place is earlier."""
     fuzzy = distinct.where(F.col("n") >= MIN_FUZZY)
     halves = _shared_keys(fuzzy.select("h", "g", F.explode("keys").alias("key")))
-    kept = halves.select("h", "g").distinct().join(fuzzy, ["h", "g"]).select("h", "g", "n", "d", "no")
-    wanted = kept.groupBy("d").agg(F.sort_array(F.collect_set("no")).alias("nos"))
-    some = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).select("d", "text").join(wanted.hint("merge"), "d")  # the lists grow with the input: never broadcast
-    found = some.select("d", F.split(F.col("text").cast("string"), "\n", -1).alias("all"), "nos").select("d", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("all", i).alias("line")))).alias("x")).select("d", "x.*")
+    kept = halves.select("h", "g").distinct().join(fuzzy, ["h", "g"]).select("h", "g", "n", "d", "t", "no")
+    wanted = kept.groupBy("d", "t").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+    d, t = _row()
+    some = docs.select(d.alias("d"), t.alias("t"), "text").join(wanted.hint("merge"), ["d", "t"])  # the lists grow with the input: never broadcast
+    found = some.select("d", "t", F.split(F.col("text").cast("string"), "\n", -1).alias("all"), "nos").select(F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("all", i).alias("line")))).alias("x")).select("x.*")
     found = found.where("line is not null").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line").join(kept, ["h", "g"]).dropDuplicates(["h", "g"])
-    texts = Stage(found.select("h", "g", "n", "d", "no", "line"), "lines")
+    texts = Stage(found.select("h", "g", "n", "d", "t", "no", "line"), "lines")
 
     # all but one piece, for the line's own length and, as the shorter of a pair, for the next
     def pieces(m: str, short: int) -> str:
@@ -68,8 +74,8 @@ def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     cut = "concat(substring(piece, 1, i - 1), substring(piece, i + 1))"
     variants = f"""flatten(transform(sequence(1, length(piece)), i -> array(
         struct(xxhash64(key, 0, {cut}) as v, false as short), struct(xxhash64(key, i, {cut}) as v, false as short))))"""
-    emitted = at.select("h", "g", "d", "no", F.explode(F.expr(f"case when short = 1 then {whole} when piece <> '' then {variants} end")).alias("e"))
-    emitted = emitted.select("e.v", "e.short", F.struct("d", "no", "h", "g").alias("me"))
+    emitted = at.select("h", "g", "d", "t", "no", F.explode(F.expr(f"case when short = 1 then {whole} when piece <> '' then {variants} end")).alias("e"))
+    emitted = emitted.select("e.v", "e.short", F.struct("d", "t", "no", "h", "g").alias("me"))
     groups = emitted.groupBy("v").agg(
         F.min("me").alias("low"), F.max("me").alias("high"), F.min(F.when(F.col("short"), F.col("me"))).alias("low_short"), F.min(F.when(~F.col("short"), F.col("me"))).alias("low_long"), F.max(F.when(~F.col("short"), F.col("me"))).alias("high_long")
     ).where("low <> high")
@@ -87,15 +93,15 @@ def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _gone(docs: DataFrame) -> DataFrame:
-    """(d, gone__nos): the numbers of the lines that each document loses."""
-    all_lines = lines(docs).select("d", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line")
-    keyed = all_lines.select("h", "g", "n", F.struct("d", "no").alias("at"), _halves().alias("keys"))
-    distinct = keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    distinct = Stage(distinct.select("h", "g", "n", "at.d", "at.no", (F.col("at") != F.col("last")).alias("many"), "keys"), "distinct-lines").df
+    """(d, t, gone__nos): the numbers of the lines that each row loses, of equal rows the first."""
+    all_lines = lines(docs).select("d", "t", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line")
+    keyed = all_lines.select("h", "g", "n", F.struct("d", "t", "no").alias("at"), _halves().alias("keys"))
+    distinct = keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("places"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    distinct = Stage(distinct.select("h", "g", "n", "at.d", "at.t", "at.no", (F.col("places") > 1).alias("many"), "keys"), "distinct-lines").df
     near = Stage(near_removed(distinct, docs), "near-lines").df.withColumn("near", F.lit(True))
-    goes = distinct.join(near, ["h", "g"], "left").where("many or near").select("h", "g", F.when(F.col("near").isNull(), F.struct("d", "no")).alias("keep"))
-    gone = all_lines.select("h", "g", F.struct("d", "no").alias("at")).join(goes, ["h", "g"]).where(F.col("keep").isNull() | (F.col("at") != F.col("keep")))
-    return gone.select("at.*").groupBy("d").agg(F.collect_set("no").alias("gone__nos"))
+    goes = distinct.join(near, ["h", "g"], "left").where("many or near").select("h", "g", F.when(F.col("near").isNull(), F.struct("d", "t", "no")).alias("keep"))
+    gone = all_lines.select("h", "g", F.struct("d", "t", "no").alias("at")).join(goes, ["h", "g"]).where(F.col("keep").isNull() | (F.col("at") != F.col("keep")))
+    return gone.select("at.*").groupBy("d", "t").agg(F.collect_set("no").alias("gone__nos"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -103,17 +109,23 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A non-blank line goes if an equal line, or (for lines of 20 characters or more) one a single edit away, stands earlier:
     in a document with a smaller doc_id, or higher up in the same.  Blank lines stay.  Returns all columns of ``docs`` with
-    text replaced and n_lines, n_removed (long) added or replaced.  Null texts stay null, with no lines; rows without a
-    doc_id stand after all others, as one document; rows that repeat a doc_id count as one document and lose the same
-    lines by number.  An empty table gives no rows.
+    text replaced and n_lines, n_removed (long) added or replaced.  Null texts stay null, with no lines.  Every row is a
+    document of its own: rows without a doc_id stand after all others, and rows of one doc_id or of none stand by the hash
+    of their texts; of rows equal in both, one stands first and the others lose all their lines.  An empty table gives no
+    rows.
     """
     with scratch():
         gone = Stage(_gone(docs), "gone-lines").keep().df
-    rows = docs.withColumn("d__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone.withColumnRenamed("d", "d__key").hint("merge"), "d__key", "left")
+    d, t = _row()
+    place = F.row_number().over(Window.partitionBy("d__key", "t__key").orderBy("d__key"))  # the join's own exchange and order
+    rows = docs.withColumns({"d__key": d, "t__key": t}).withColumn("place__key", place)
+    rows = rows.join(gone.withColumnsRenamed({"d": "d__key", "t": "t__key"}).hint("merge"), ["d__key", "t__key"], "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
     count = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(SOLID))), F.lit(0)).cast("long")
+    blank = F.filter(parts, lambda x: ~x.rlike(SOLID))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone__nos")), lambda i: F.get(parts, i))
-    text = F.when(F.col("gone__nos").isNull() | F.col("text").isNull(), F.col("text").cast("string")).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("text").isNotNull() & F.col("gone__nos").isNotNull(), F.size(F.array_intersect(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone__nos")))).otherwise(0)
+    whole = F.col("text").cast("string")
+    text = F.when(F.col("text").isNull(), whole).when(F.col("place__key") > 1, F.array_join(blank, "\n")).when(F.col("gone__nos").isNull(), whole).otherwise(F.array_join(left, "\n"))
+    removed = F.when(F.col("text").isNull(), 0).when(F.col("place__key") > 1, count).when(F.col("gone__nos").isNull(), 0).otherwise(F.size("gone__nos"))
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return rows.select(*kept, text.alias("text"), count.alias("n_lines"), removed.cast("long").alias("n_removed"))
