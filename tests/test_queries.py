@@ -41,6 +41,21 @@ def test_digest(spark):
     assert got["app::region"] == str(h)
 
 
+def test_digest_of_every_module(spark):
+    import pyarrow.parquet as pq
+
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    want = {}
+    for table, key in keys.items():
+        module = f"app::{table.rstrip('s') if table == 'orders' else table}"
+        h = 0xCBF29CE484222325
+        for name in sorted({f"{module}::{table[0]}{k}".encode() for k in pq.read_table(f"{SF}/{table}.parquet")[key].to_pylist()}):
+            for b in name + b"\n":
+                h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        want[module] = str(h)
+    assert {r["module"]: r["digest"] for r in queries.QUERIES["manifest_digest"](spark, SF).collect()} == want and len(want) == 6
+
+
 def test_entry_without_corpus_operators(monkeypatch):
     import importlib
     import sys

@@ -328,10 +328,9 @@ def scalar_tokens(spark, sf):
 
 @query
 def manifest_digest(spark, sf):
-    """FNV-1a of each module's sorted names, of regions and nations."""
-    rows = facts(spark, sf).units.where("fn like 'app::region%' or fn like 'app::nation%'")
-    per = rows.groupBy(F.substring_index("fn", "::", 2).alias("module")).agg(F.sort_array(F.collect_set("fn")).alias("all"))
-    return per.select("module", scalars.fnv1a(F.col("all")).cast("string").alias("digest"))
+    """FNV-1a of each module's sorted names."""
+    names_ = facts(spark, sf).units.select(F.substring_index("fn", "::", 2).alias("module"), "fn")
+    return scalars.fnv1a_by(names_, "module", "fn").select("module", "digest")
 
 
 @query
