@@ -429,6 +429,20 @@ def test_embeddings(spark, block):
     assert not embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).collect()
 
 
+def test_a_longer_vector_costs_no_links(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(10):
+        centre = rng.normal(size=16)
+        rows += [(10 * c + k, [float(np.float32(a)) for a in centre + rng.normal(size=16) * 0.02], 0) for k in range(4)]
+    odd = [(500, [1.0] * 20, 0), (501, [1.0] * 3, 0), (502, [1.0] * 40 + [None], 0)]
+    want = brute_vectors(rows) | {(v, 0, v) for v, _, _ in odd}
+    assert sum(n for _, n, _ in want) >= 80
+    for sample in (20_000, 8):
+        got = embeddings.near_duplicates(spark.createDataFrame([(*r, "a", "b") for r in odd + rows], VECTORS).coalesce(1), sample=sample).collect()
+        assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(i, i + 1) for i in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (70, 2))] + [(300, 300)]
