@@ -282,6 +282,23 @@ def test_line_dedup_tells_rows_apart(spark):
     assert all(r["n_lines"] - r["n_removed"] == solid(r["text"]) for r in rows)
 
 
+def test_short_lines_one_edit_apart(spark):
+    texts = ["cat", "cut", "cats", "at", "dog", "a", "b", "xyz\ncat", "\u6f22\u5b57\u304c", "\u6f22\u5b57\u306f", "nineteen characters", "nineteen characterss", "nineteen charactess"]
+    every = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n"))]
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    for floor in (1, 4, 20):
+        rows = linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_fuzzy=floor).collect()
+        first = {x: (d, i) for d, i, x in reversed(every)}
+        gone = {(d, i) for d, i, x in every if first[x] < (d, i) or len(x) >= floor and any(len(y) >= floor and x != y and near(x, y) and first[y] < first[x] for y in first)}
+        assert {r["doc_id"]: r["text"] for r in rows} == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in enumerate(texts)}, floor
+
+
 def test_line_dedup_equals_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     theirs = duckdb.sql(oracles.SQL["op5_line_dedup"]).fetchall()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import Stage, scratch
 
-#: Shorter lines are compared exactly; one edit says little about them.
+#: Unless dedup is told otherwise, shorter lines are compared exactly; the SQL has the same floor.
 MIN_FUZZY = 20
 PIECE = 32
 LAST = (1 << 63) - 1
@@ -49,9 +49,9 @@ def _shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(many, "key", "left_semi")
 
 
-def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def near_removed(distinct: DataFrame, docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """(h, g) of the distinct lines (h, g, n, d, t, no, keys) that stand one edit from a line whose first place is earlier."""
-    fuzzy = distinct.where(F.col("n") >= MIN_FUZZY)
+    fuzzy = distinct.where(F.col("n") >= min_fuzzy)
     halves = _shared_keys(fuzzy.select("h", "g", F.explode("keys").alias("key")))
     kept = halves.select("h", "g").distinct().join(fuzzy, ["h", "g"]).select("h", "g", "n", "d", "t", "no")
     wanted = kept.groupBy("d", "t").agg(F.sort_array(F.collect_set("no")).alias("nos"))
@@ -92,22 +92,22 @@ def near_removed(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("a", "b", 1) >= 0).select("h", "g").distinct()
 
 
-def _gone(docs: DataFrame) -> DataFrame:
+def _gone(docs: DataFrame, min_fuzzy: int) -> DataFrame:
     """(d, t, gone__nos): the numbers of the lines that each row loses, of equal rows the first."""
     all_lines = lines(docs).select("d", "t", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line")
     keyed = all_lines.select("h", "g", "n", F.struct("d", "t", "no").alias("at"), _halves().alias("keys"))
     distinct = keyed.groupBy("h", "g").agg(F.min("at").alias("at"), F.count("*").alias("places"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     distinct = Stage(distinct.select("h", "g", "n", "at.d", "at.t", "at.no", (F.col("places") > 1).alias("many"), "keys"), "distinct-lines").df
-    near = Stage(near_removed(distinct, docs), "near-lines").df.withColumn("near", F.lit(True))
+    near = Stage(near_removed(distinct, docs, min_fuzzy), "near-lines").df.withColumn("near", F.lit(True))
     goes = distinct.join(near, ["h", "g"], "left").where("many or near").select("h", "g", F.when(F.col("near").isNull(), F.struct("d", "t", "no")).alias("keep"))
     gone = all_lines.select("h", "g", F.struct("d", "t", "no").alias("at")).join(goes, ["h", "g"]).where(F.col("keep").isNull() | (F.col("at") != F.col("keep")))
     return gone.select("at.*").groupBy("d", "t").agg(F.collect_set("no").alias("gone__nos"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """Each row of ``docs`` with its lines that an earlier line makes redundant taken out.
 
-    A non-blank line goes if an equal line, or (for lines of 20 characters or more) one a single edit away, stands earlier:
+    A non-blank line goes if an equal line, or (for lines of ``min_fuzzy`` characters or more) one a single edit away, stands earlier:
     in a document with a smaller doc_id, or higher up in the same.  Blank lines stay.  Returns all columns of ``docs`` with
     text replaced and n_lines, n_removed (long) added or replaced.  Null texts stay null, with no lines.  Every row is a
     document of its own: rows without a doc_id stand after all others, and rows of one doc_id or of none stand by the hash
@@ -115,7 +115,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows.
     """
     with scratch():
-        gone = Stage(_gone(docs), "gone-lines").keep().df
+        gone = Stage(_gone(docs, min_fuzzy), "gone-lines").keep().df
     d, t = _row()
     place = F.row_number().over(Window.partitionBy("d__key", "t__key").orderBy("d__key"))  # the join's own exchange and order
     rows = docs.withColumns({"d__key": d, "t__key": t}).withColumn("place__key", place)
