@@ -38,24 +38,40 @@ def documents(spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
 
 
-def test_token_counts(spark, odd, nothing):
-    v = unigram.load(tokens.vocabulary_path("piece_bpe_32k.model"))
+def plain_cut(v, text):
+    """The ids of the best way to cut, by a table over the whole text."""
+    t = "▁" + text.replace(" ", "▁") if text else ""
+    best = [(0.0, 0, 0)] + [None] * len(t)
+    for j in range(1, len(t) + 1):
+        for k in range(min(v.longest, j), 0, -1):
+            p = t[j - k : j]
+            if p in v.ids or k == 1:
+                s, n, _ = best[j - k]
+                new = (s + v.score.get(p, v.unknown), n + 1, k)
+                if best[j] is None or new[0] > best[j][0] or (new[0] == best[j][0] and new[1] < best[j][1]):
+                    best[j] = new
+    out, j = [], len(t)
+    while j:
+        p = t[j - best[j][2] : j]
+        out.append([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.encode()])
+        j -= best[j][2]
+    return [i for x in reversed(out) for i in x]
+
+
+LONG = ["theconditionofthing" * 300, "ab" * 900, "x" * 4000, "\n\n a  b\n", " ▁  ", "漢字かな" * 300, "a\u0001" * 50]
 
-    def plain(text):  # every way to cut, by a table over the whole text
-        t = "▁" + text.replace(" ", "▁")
-        best = [(0.0, 0, 0)] + [None] * len(t)
-        for j in range(1, len(t) + 1):
-            for k in range(min(v.longest, j), 0, -1):
-                p = t[j - k : j]
-                if p in v.ids or k == 1:
-                    s, n, c = best[j - k]
-                    new = (s + v.score.get(p, v.unknown), -(n + 1), c + (1 if p in v.ids else len(p.encode())))
-                    if best[j] is None or (new[0], new[1]) > (best[j][0], -best[j][1]):
-                        best[j] = (new[0], -new[1], new[2])
-        return best[-1][2]
 
+def test_token_counts(spark, odd, nothing):
+    v = unigram.load(tokens.vocabulary_path("piece_bpe_32k.model"))
     got = Counter((r["doc_id"], r["n_tokens"]) for r in unigram.count_tokens(odd).collect())
-    assert got == Counter((d, plain(t) if t else 0) for d, t, *_ in ODD)
+    assert got == Counter((d, len(plain_cut(v, t))) for d, t, *_ in ODD)
+    frame = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in unigram.count_tokens(frame).collect()} == {i: len(plain_cut(v, t)) for i, t in enumerate(LONG)}
+    rows = {r["doc_id"]: r for r in queries.op1_token_counts(spark, SF).collect()}
+    docs = documents(spark)
+    assert len(rows) == len(docs) and all(rows[d]["n_chars"] == len(t) for d, t in docs)
+    for d, t in docs[::4]:
+        assert rows[d]["n_tokens"] == len(plain_cut(v, t))
     assert not unigram.count_tokens(nothing).collect()
 
 
@@ -69,6 +85,10 @@ def test_codec(spark, odd, nothing):
     again = unigram.decode(unigram.encode(odd)).collect()
     assert Counter(r["text"] for r in again) == Counter(r["text"] for r in coded)
     assert not unigram.encode(nothing).collect()
+    texts = LONG + [t for _, t, *_ in ODD] + [t for _, t in documents(spark)[::5]]
+    flat, ends = unigram.encode_texts(v, texts)
+    for a, b, t in zip(ends, ends[1:], texts):
+        assert flat[a:b].tolist() == plain_cut(v, t or "")
     # the same pieces in a library that searches whole texts; an appended field makes its model a unigram one
     with open(path, "rb") as f:
         library = sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x12\x02\x18\x01")
@@ -77,21 +97,31 @@ def test_codec(spark, odd, nothing):
     def total(ids):
         return sum(v.score[v.names[i]] for i in ids)
 
-    many = unigram.encode_many(v, words)
-    assert many == [unigram.encode_one(v, w) for w in words]
-    assert unigram.trie_counts(v, words).tolist() == [len(m) for m in many]
+    flat, ends = unigram.encode_texts(v, [w[1:] for w in words])
+    mine = [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
     theirs = [library.encode(w[1:]) for w in words]
-    assert all(total(a) >= total(b) - 1 for a, b in zip(many, theirs))  # never a worse way to cut, and nearly always as good
-    assert np.mean([total(a) - total(b) <= 1 or total(b) < -1e8 for a, b in zip(many, theirs)]) > 0.99
+    assert all(total(a) >= total(b) - 1 for a, b in zip(mine, theirs))  # never a worse way to cut, and nearly always as good
+    assert np.mean([total(a) - total(b) <= 1 or total(b) < -1e8 for a, b in zip(mine, theirs)]) > 0.99
 
 
-def test_streaming_commits_early():
+@pytest.mark.parametrize("block", [1 << 17, 1000])
+def test_streaming_commits_early(block, monkeypatch):
+    monkeypatch.setattr(unigram, "BLOCK", block)
     v = unigram.load(tokens.vocabulary_path("piece_bpe_32k.model"))
-    machine = unigram.StreamingViterbi(v)
-    text = "▁" + "theconditionofthing" * 40
-    early = machine.feed(text)
-    assert len(machine.nodes) < 200 and early
-    assert early + machine.finish() == unigram.encode_many(v, [text])[0]
+    codes = unigram._codes("▁" + LONG[0] + "\nshort" + "▁" + LONG[0][7:])
+    starts = unigram.lane_starts(codes, np.array([0]))
+    machine = unigram.StreamingViterbi(v, codes, starts)
+    emitted, emit = [], machine._emit
+    machine._emit = lambda lanes, boundary: (emitted.append((lanes, boundary.copy())), emit(lanes, boundary))
+    machine.run()
+    assert len(starts) == 2 and machine.most_open < 20 * v.longest
+    early = np.concatenate([b[lanes == 0] for lanes, b in emitted[:-1]])
+    assert early.max() > len(LONG[0]) - 20 * v.longest
+    # one that never meets is followed only a few times
+    codes = unigram._codes("x" * 4000)
+    machine = unigram.StreamingViterbi(v, codes, np.array([0]))
+    machine.run()
+    assert machine.on_path[-1]
 
 
 def test_fast_ids_are_the_slow_ones(spark):
