@@ -132,18 +132,28 @@ def test_fast_ids_are_the_slow_ones(spark):
 
 def test_packing(spark, odd, nothing):
     path = tokens.vocabulary_path("byte_bpe_50k.json")
+    slow = tokens.slow_encoder(path)
     for frame, docs in ((odd, [(d, t) for d, t, *_ in ODD]), (spark.read.parquet(f"{SF}/documents.parquet"), documents(spark))):
         rows = packing.pack(frame, shard_docs=50).collect()
-        want = Counter()
-        for d, t in docs:
-            want[d] += len(tokens.encode(t or "", path)) + 1
+        want = [(d, np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")) for d, t in docs]
         have = Counter()
         by = defaultdict(list)
         for r in rows:
             have[r["doc_id"]] += r["length"]
             by[r["sequence_id"]].append((r["offset"], r["length"]))
             assert len(r["ids"]) == 4 * r["length"]
-        assert have == want
+        total = Counter()
+        for d, i in want:
+            total[d] += len(i)
+        assert have == total
+        many = Counter(d for d, _ in docs)
+        for d, ids in want:
+            if many[d] == 1:
+                at = 0
+                for r in sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"]):
+                    assert (r["start"], bytes(r["ids"]), r["doc_tokens"]) == (at, ids[at : at + r["length"]].tobytes(), len(ids))
+                    at += r["length"]
+                assert at == len(ids)
         for pieces in by.values():
             at = 0
             for o, n in sorted(pieces):
@@ -151,6 +161,19 @@ def test_packing(spark, odd, nothing):
                 at += n
             assert at == 1024 or at & (at - 1) == 0 and at < 1024
     assert not packing.pack(nothing).collect()
+    want = {(d, i[:1024].tobytes()) for d, i in want}  # of documents, the last table
+    for r in queries.op2_lexical_packing(spark, SF).where("start = 0").collect():
+        ids = next(i for d, i in want if d == r["doc_id"])
+        assert r["ids_crc32"] == zlib.crc32(ids[: 4 * r["length"]])
+
+
+def brute_bm25(docs, i, j):
+    n, mean, total = len(docs), np.mean([len(d) for d in docs]), 0.0
+    for t in set(docs[i].tolist()):
+        df, tf = sum(t in d for d in docs), int((docs[j] == t).sum())
+        if 2 <= df <= n / 2:
+            total += np.log((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[j]) / mean))
+    return total
 
 
 def test_neighbours_are_lexical():
@@ -159,16 +182,30 @@ def test_neighbours_are_lexical():
     docs = [np.append(rng.choice(topics[i % 4], 100), 0).astype(np.uint32) for i in range(16)]
     for row in packing.pack_shard(docs, window=404):
         assert len({d % 4 for d, _, _ in row}) == 1
-    scores = packing.bm25_scores(docs)
-    n, size = len(docs), np.array([len(d) for d in docs])
-    for i, j in ((0, 4), (0, 1), (3, 7)):
-        total = 0.0
-        for t in set(docs[i].tolist()):
-            df = sum(t in d for d in docs)
-            tf = int((docs[j] == t).sum())
-            if 2 <= df <= n / 2:
-                total += np.log((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[j] / size.mean()))
-        assert abs(total - scores[i, j]) < 1e-3
+    stats = packing.statistics(docs)
+    index = packing.Index(docs, stats)
+    for i in range(16):
+        assert np.allclose(index.scores(i), [brute_bm25(docs, i, j) for j in range(16)], atol=1e-3)
+    used = np.arange(16) % 3 == 0
+    index.forget(used)
+    assert np.allclose(index.scores(1), [0 if used[j] else brute_bm25(docs, 1, j) for j in range(16)], atol=1e-3)
+    scores = rng.integers(0, 5, 300).astype(float)
+    unused = rng.random(300) < 0.7
+    assert list(packing.ranking(scores, unused)) == sorted(np.flatnonzero(unused), key=lambda d: (-scores[d], d))
+
+
+def test_shards_hold_lexical_neighbours(spark):
+    """Copies and near copies far apart in the table share a shard, and mostly a window."""
+    rng = np.random.default_rng(3)
+    word = [f"{a}{b}" for a in ("stone", "river", "cloud", "glass", "north", "paper", "light", "green") for b in ("field", "house", "bird", "song", "mark", "way", "fall", "ring")]
+    base = [list(rng.choice(word, 150)) for _ in range(150)]
+    rare = [[f"{rng.integers(10**9)}" for _ in range(10)] for _ in base]
+    texts = [" ".join(b + r) for b, r in zip(base, rare)] + [" ".join(b[:140] + r + b[:5]) for b, r in zip(base, rare)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_docs=30).collect()
+    windows = defaultdict(set)
+    for r in rows:
+        windows[r["doc_id"]].add(r["sequence_id"])
+    assert np.mean([bool(windows[i] & windows[i + 150]) for i in range(150)]) > 0.6  # by chance 2 in 100
 
 
 def brute_windows(units_of, window):

@@ -6,6 +6,8 @@ import functools
 import json
 import re
 
+import numpy as np
+
 #: Texts of these characters only are encoded by the faster of two libraries with the same vocabulary; all others by tokenizers.
 PLAIN = re.compile("[^\x00-ɏ‐-‧€]")
 #: Above this run of characters without a space, too.
@@ -48,6 +50,12 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def id_type(path: str) -> type[np.unsignedinteger]:
+    """The smallest type that holds all ids of a vocabulary."""
+    return np.uint16 if slow_encoder(path).get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def encode(text: str, path: str) -> list[int]:
     """Ids without special tokens, as tokenizers gives them."""
     if PLAIN.search(text) or LONG_RUN.search(text):
