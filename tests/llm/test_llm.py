@@ -513,18 +513,51 @@ def test_embeddings(spark, block):
     assert not embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).collect()
 
 
-def test_a_longer_vector_costs_no_links(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for c in range(10):
-        centre = rng.normal(size=16)
-        rows += [(10 * c + k, [float(np.float32(a)) for a in centre + rng.normal(size=16) * 0.02], 0) for k in range(4)]
-    odd = [(500, [1.0] * 20, 0), (501, [1.0] * 3, 0), (502, [1.0] * 40 + [None], 0)]
-    want = brute_vectors(rows) | {(v, 0, v) for v, _, _ in odd}
-    assert sum(n for _, n, _ in want) >= 80
+def links_of(spark, rows, **how):
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, "a", "b") for r in rows], VECTORS.replace("label int", "label long")), **how).collect()
+    assert len(got) == len(rows)
+    return {(r["vec_id"], r["n_links"], r["component_id"]) for r in got}
+
+
+def clusters(seed, width, n, first=0, label=0):
+    rng, rows = np.random.default_rng(seed), []
+    for c in range(n):
+        centre = rng.normal(size=width)
+        rows += [(first + 10 * c + k, [float(np.float32(a)) for a in centre + rng.normal(size=width) * 0.02], label) for k in range(4)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 6])
+def test_widths_stand_apart(spark, block):
+    rows = clusters(5, 16, 10) + clusters(6, 20, 5, 1000) + clusters(7, 3, 2, 2000) + [(500, [1.0] * 21, 0), (502, [1.0] * 40 + [None], 0)]
+    want = brute_vectors(rows)
+    assert sum(n for _, n, _ in want) >= 200
     for sample in (20_000, 8):
-        got = embeddings.near_duplicates(spark.createDataFrame([(*r, "a", "b") for r in odd + rows], VECTORS).coalesce(1), sample=sample).collect()
-        assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == want
+        got = links_of(spark, rows, block=block, sample=sample)
+        if block == 4096:
+            assert got == want
+        assert sum(n for _, n, _ in got) >= 0.9 * sum(n for _, n, _ in want)
+
+
+def test_few_vectors_and_great_labels(spark):
+    two = [(1, [1.0, 0.0, 0.01], 1 << 50), (2, [1.0, 0.01, 0.0], 1 << 50), (3, [1.0, 0.01, 0.0], -(1 << 63)), (4, [1.0, 0.0, 0.0], (1 << 63) - 1)]
+    assert links_of(spark, two) == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+
+
+def test_recall_of_tables(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(600, 64)) @ rng.normal(size=(64, 64)) * np.linspace(0.2, 2, 64)
+    rows = [(i, v.astype(np.float32).astype(float).tolist(), 1) for i, v in enumerate(base)]
+    for i, v in enumerate(base):
+        noise = rng.normal(size=64)
+        noise -= noise @ v / (v @ v) * v
+        angle = np.arccos(rng.uniform(0.9805, 0.9999))
+        rows.append((1000 + i, (v + np.tan(angle) * np.linalg.norm(v) * noise / np.linalg.norm(noise)).astype(np.float32).astype(float).tolist(), 1))
+    want = brute_vectors(rows)
+    got = links_of(spark, rows, block=100)
+    assert sum(n for _, n, _ in want) >= 1200
+    assert sum(n for _, n, _ in got) >= 0.95 * sum(n for _, n, _ in want)
+    assert links_of(spark, rows) == want  # one block holds them all
 
 
 def test_components(spark):
