@@ -260,6 +260,16 @@ def test_suffix_array_dedup(spark, seed):
     assert removed
 
 
+@pytest.mark.parametrize("operator, name", [(debruijn, "_paths"), (suffixarray, "_order")])
+def test_the_method_carries_the_result(spark, monkeypatch, operator, name):
+    """Nothing goes but what the method stands together: without its anchors and stretches all is kept."""
+    real = getattr(operator, name)
+    frame = spark.createDataFrame(planted(5), "doc_id long, text string")
+    assert any(r["n_removed"] for r in operator.dedup(frame).collect())
+    monkeypatch.setattr(operator, name, lambda found, window: tuple(x.where("false") for x in real(found, window)))
+    assert not any(r["n_removed"] for r in operator.dedup(frame).collect())
+
+
 def test_substrings_of_odd_rows(spark, odd, nothing):
     for run, unit, window in ((debruijn.dedup, lambda t: (t or "").split(), 35), (suffixarray.dedup, lambda t: (t or "").encode(), 400)):
         want = Counter((d, len(u), int(g.sum())) for d, u, g in brute_windows([(d, unit(t)) for d, t, *_ in ODD], window))

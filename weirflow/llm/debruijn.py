@@ -3,8 +3,9 @@
 Nodes are k-grams of words, chosen so that equal passages choose equal ones; an edge runs from one to the next in a text
 and stands for all words between.  Edges that occur once are dropped.  Paths through nodes with one edge in and one out
 are compacted by pointer doubling, one Spark join a round.  A text's walk along a compacted path has source coordinates;
-walks over the same stretch of a path have the same words, and so verify each other as long repeated spans.  The ends,
-where walks of different lengths overlap, are settled window by window (see ``spans``).
+walks over the same stretch of a path have the same words, and so verify each other as long repeated spans.  Where walks
+of different lengths overlap or paths branch, the words at the coordinates of one place of a path are verified against each
+other window by window (see ``spans``).
 """
 
 from __future__ import annotations
@@ -48,27 +49,33 @@ def compact(edges: DataFrame) -> DataFrame:
     return now.df.select("edge", F.when(F.col("done"), F.col("path")).otherwise(F.col("edge")).alias("path"), F.when(F.col("done"), F.col("place")).otherwise(0).alias("place"))
 
 
-def walks(found: DataFrame) -> DataFrame:
+def placed(found: DataFrame) -> DataFrame:
+    """The anchors with the path and place of their edges."""
+    edges = Stage(found.groupBy("edge").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("next_node").alias("next_node")), "graph").df
+    return spans.join_split(found, compact(edges.drop("n")), "edge", spans.hot_keys(edges, "edge"))
+
+
+def walks(on: DataFrame) -> DataFrame:
     """(uid, path, a, b, lo, hi): each text's walks along compacted paths, from place a to b, words lo to hi."""
-    edges = Stage(found.groupBy("edge").agg(F.min("node").alias("node"), F.min("next_node").alias("next_node")), "graph")
-    on = found.select("uid", "i", "edge", "at", "end").join(compact(edges.df), "edge")
     order = Window.partitionBy("uid").orderBy("i")
     before = F.lag("i").over(order)
     # a repeated row lists each of its edges again
     go_on = (before == F.col("i")) | ((before == F.col("i") - 1) & (F.lag("path").over(order) == F.col("path")) & (F.lag("place").over(order) == F.col("place") - 1))
-    cut = on.withColumn("new", F.when(go_on, 0).otherwise(1)).withColumn("walk", F.sum("new").over(order))
+    cut = on.select("uid", "i", "path", "place", "at", "end").withColumn("new", F.when(go_on, 0).otherwise(1)).withColumn("walk", F.sum("new").over(order))
     return cut.groupBy("uid", "walk").agg(F.min("path").alias("path"), F.min("place").alias("a"), F.max("place").alias("b"), F.min("at").alias("lo"), F.max("end").alias("hi"))
 
 
-def _stretches(found: DataFrame, window: int) -> DataFrame:
-    long = Stage(walks(found).where(F.col("hi") - F.col("lo") >= window), "walks").df
+def _paths(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The anchors, of one class at one place of a path, and the walks that another text takes too."""
+    on = Stage(placed(found), "on-paths").df
+    long = Stage(walks(on).where(F.col("hi") - F.col("lo") >= window), "walks").df
     many = long.groupBy("path", "a", "b").count().where("count > 1").select("path", "a", "b")
-    return long.join(many, ["path", "a", "b"], "left_semi").select("uid", "lo", "hi")
+    return on.withColumn("cls", F.xxhash64("path", "place")), long.join(many, ["path", "a", "b"], "left_semi").select("uid", "lo", "hi")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(uid, spans) of the words of each text that a window of ``window`` words repeated anywhere covers."""
-    return spans.repeated(docs, SHAPE if window == WINDOW else shape_for(window), _stretches)
+    return spans.repeated(docs, SHAPE if window == WINDOW else shape_for(window), _paths)
 
 
 def _cut(text: bytes | None, runs: np.ndarray) -> tuple:

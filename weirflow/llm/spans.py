@@ -3,10 +3,11 @@
 Each window of W units has one anchor: the place of the smallest k-gram hash among its first g (the leftmost of ties), so
 equal windows have their anchors at equal offsets.  With 2 g + k - 1 <= W the next anchor and its k-gram also lie inside
 the window, so the window holds the whole edge, the units from its anchor to the end of the next one's k-gram.  A window
-can therefore repeat only if the edge of its anchor does.  That leaves few candidate edges; the two substring operators
-order or compact those by their own methods and give back stretches known to repeat.  What they leave open is settled
-here exactly: first all windows of an anchor at once (by a 128-bit hash of the units they span), then, for anchors whose
-edge occurs with different surroundings, window by window.
+can therefore repeat only if the edge of its anchor does.  That leaves few candidate edges, which the two substring
+operators order or compact by their own methods.  A method gives back stretches that repeat and the anchors that stand
+together with another place, with what they have in common as their class; nothing else is looked at again.  The windows
+of such anchors that no stretch holds are verified within their class: first all windows of an anchor at once (by a
+128-bit hash of the units they span), then, where surroundings differ, window by window.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Stage, row_slices, scratch
@@ -165,7 +166,8 @@ def _details(shape: Shape):
                 common = shape.window - shape.reach + 1  # units from the anchor that all its windows hold
                 core = np.fromiter((_hash64(u.cut(x, x + common)) for x in s.tolist()), np.uint64, len(i))
                 span = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u.cut(x, y) + b"|%d" % (z - x)) for x, y, z in zip(f.tolist(), t.tolist(), s.tolist())), np.int64).reshape(-1, 2)
-                for c, v in zip(cols, (np.full(len(i), doc, np.int64), i.astype(np.int32), edge.view(np.int64), s, e, f, t, a.node[i].view(np.int64), a.next_node[i].view(np.int64), core.view(np.int64), span[:, 0], span[:, 1])):
+                whole = np.maximum(np.searchsorted(a.end, s + shape.window, "right") - i, 1)
+                for c, v in zip(cols, (np.full(len(i), doc, np.int64), i.astype(np.int32), edge.view(np.int64), s, e, f, t, a.node[i].view(np.int64), a.next_node[i].view(np.int64), core.view(np.int64), span[:, 0], span[:, 1], whole.astype(np.int32))):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], DETAIL_NAMES)
@@ -173,8 +175,12 @@ def _details(shape: Shape):
     return run
 
 
-DETAIL_NAMES = ["uid", "i", "edge", "at", "end", "lo", "hi", "node", "next_node", "core", "s1", "s2"]
-DETAIL_SCHEMA = "uid long, i int, edge long, at long, end long, lo long, hi long, node long, next_node long, core long, s1 long, s2 long"
+DETAIL_NAMES = ["uid", "i", "edge", "at", "end", "lo", "hi", "node", "next_node", "core", "s1", "s2", "whole"]
+#: An anchor of a text: its number, edge, the edge's units, those that its windows span, and how many edges a window holds at most.
+DETAIL_SCHEMA = "uid long, i int, edge long, at long, end long, lo long, hi long, node long, next_node long, core long, s1 long, s2 long, whole int"
+#: What a method makes of the candidate anchors: those that stand together with another place (their columns and a class,
+#: cls long), and stretches (uid, lo, hi) of units that occur at another place too.
+Method = Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
 def _blocks(shape: Shape):
@@ -217,11 +223,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text).alias("uid"), text.alias("text"))
 
 
-def repeated(docs: DataFrame, shape: Shape, method: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, share: int = 1000) -> list:
+    """The keys with over one ``share``-th of all rows, so fewer than ``share``; ``counts``: (key, n)."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("n") * share > total).select(key).collect()]
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row a key); the rows of the few ``hot`` keys stay where they are."""
+    if not hot:
+        return rows.join(keyed, key, how)
+    often = F.col(key).isin(hot)
+    return rows.where(~often).join(keyed.where(~often), key, how).unionByName(rows.where(often).join(F.broadcast(keyed.where(often)), key, how))
+
+
+def repeated(docs: DataFrame, shape: Shape, method: Method) -> DataFrame:
     """(uid, spans array<struct<lo, hi>>): runs of units covered by windows that start at more than one place.
 
-    ``method`` gets the candidate anchors (DETAIL_SCHEMA) and gives stretches (uid, lo, hi) of units that occur, at the
-    same offsets, at another place too.
+    ``method`` gets the candidate anchors (DETAIL_SCHEMA).
     """
     with scratch():
         return Stage(_repeated(keyed(docs), shape, method), "spans").keep().df
@@ -233,23 +252,38 @@ def _meeting(rows: DataFrame) -> DataFrame:
     return rows.join(shared, ["w1", "w2"], "left_semi")
 
 
-def _repeated(texts: DataFrame, shape: Shape, method: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _settled(anchors: DataFrame, stretches: DataFrame) -> DataFrame:
+    """``anchors`` with settled: whether one of their text's stretches holds all their windows."""
+    kept = ["uid", "i", "at", "core", "lo", "hi", "s1", "s2", "cls"]
+    starts = stretches.groupBy("uid", "lo").agg(F.max("hi").alias("reach"))
+    events = anchors.select(*kept, F.lit(1).alias("asks"), F.lit(None).cast("long").alias("reach")).unionByName(starts.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    known = F.max("reach").over(Window.partitionBy("uid").orderBy("lo", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("known", known).where("asks = 1").select(*kept, F.coalesce(F.col("known") >= F.col("hi"), F.lit(False)).alias("settled"))
+
+
+def _candidates(texts: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """The candidate anchors (DETAIL_SCHEMA), and the identities (uid) of rows that are there more than once."""
     edges = Stage(texts.mapInArrow(_edges(shape), "uid long, i int, edge long"), "edges")
-    many = edges.df.groupBy("edge").count().where("count > 1").select("edge")
-    chosen = edges.df.join(many, "edge", "left_semi").groupBy("uid").agg(F.collect_set("i").alias("chosen"))
+    many = Stage(edges.df.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1"), "edge-counts")
+    chosen = join_split(edges.df, many.df.select("edge"), "edge", hot_keys(many.df, "edge"), "left_semi").groupBy("uid").agg(F.collect_set("i").alias("chosen"))
     chosen = Stage(chosen, "chosen")
+    twins = Stage(edges.df.where("i = 0").groupBy("uid").count().where("count > 1").select("uid"), "twins").df
     edges.drop()
-    found = Stage(texts.join(chosen.df, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors")
+    many.drop()
+    found = Stage(texts.join(chosen.df, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors").df
     chosen.drop()
-    with scratch():
-        stretches = Stage(method(found.df, shape.window).where(F.col("hi") - F.col("lo") >= shape.window), "stretches").keep().df
-    # anchors whose windows all lie in a stretch are settled
-    held = stretches.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("st"))
-    rest = found.df.join(held, "uid", "left").withColumn("settled", F.coalesce(F.exists("st", lambda s: (s["lo"] <= F.col("lo")) & (s["hi"] >= F.col("hi"))), F.lit(False)))
-    rest = Stage(rest.select("uid", "i", "at", "core", "lo", "hi", "s1", "s2", "settled"), "rest").df
-    classes = rest.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("uid", "i", "at", "lo", "hi")).alias("one"), F.min("settled").alias("settled"))
+    return found, twins
+
+
+def _repeated(texts: DataFrame, shape: Shape, method: Method) -> DataFrame:
+    found, twins = _candidates(texts, shape)
+    anchors, stretches = method(found, shape.window)
+    # a row that is there twice repeats itself
+    stretches = Stage(stretches.select("uid", "lo", "hi").union(found.join(twins, "uid", "left_semi").select("uid", "lo", "hi").distinct()), "stretches").df
+    rest = Stage(_settled(anchors, stretches), "rest").df
+    classes = rest.groupBy("cls", "s1", "s2").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("uid", "i", "at", "lo", "hi")).alias("one"), F.min("settled").alias("settled"))
     classes = Stage(classes, "classes").df
-    whole = rest.where("not settled").join(classes.where("n > 1").select("s1", "s2"), ["s1", "s2"]).select("uid", "lo", "hi")
+    whole = rest.where("not settled").join(classes.where("n > 1").select("cls", "s1", "s2"), ["cls", "s1", "s2"]).select("uid", "lo", "hi")
     # cores with an open class and several classes: compare block by block and window by window, one place a class
     varied = classes.groupBy("core").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("settled")).alias("open")).where("k > 1 and open").select("core")
     asked = classes.join(varied, "core").select("one.*", ((F.col("n") == 1) & ~F.col("settled")).alias("single"))

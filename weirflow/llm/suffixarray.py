@@ -4,11 +4,12 @@ The letters are the candidate edges of ``spans``: runs of bytes between places t
 hundred bytes each; edges that occur once end a string.  Suffixes of the strings are sorted by the difference cover
 modulo 3: the triples at places 1 and 2 (mod 3) are sorted and named, the string of names is sorted in turn, and the
 suffixes at places 0 (mod 3) are merged in, since from any two places one can step at most two letters to two sampled
-ones.  Neighbours in the order are compared letter by letter; what they share is a stretch of bytes that repeats.  The
-bytes just before and after such stretches are settled window by window.
+ones.  Neighbours in the order are compared letter by letter; what they share is a stretch of bytes that repeats, and a
+suffix that shares nothing with its neighbours has no repeat.  The bytes just before and after such stretches, within the
+letters around them, are verified window by window.
 
-Order is only needed over the letters that neighbours are compared by, so the recursion ends after ``DEPTH`` levels, when
-names cover more than those.
+The recursion goes on until names are unique or cover as many letters as the window of any text here holds, which is what
+the order is needed over: suffixes that agree in more are equal as far as windows go.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,8 @@ from .shared import Stage, group_runs
 
 WINDOW = 400
 SHAPE = spans.Shape(window=WINDOW, gram=24, reach=188, words=False)
-#: Letters that neighbours are compared over, and levels of names: one level covers nine letters.
+#: Letters that neighbours are compared over at a time; a longer stretch that two texts share is made of several.
 COMPARE = 8
-DEPTH = 1
 #: Suffixes that a task merges at a time.
 BUCKET = 50_000
 #: Bound of the suffixes that the driver draws to divide the order.
@@ -140,24 +141,29 @@ def merge(rows: dict) -> np.ndarray:
     return np.append(sampled, other)[np.argsort(np.append(2 * np.arange(len(sampled)) + 1, 2 * at), kind="stable")]
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """``rows`` with a bucket, each a range of the order; the drawn suffixes that divide it are bounded in number."""
+def _bucketed(rows: DataFrame, carried: tuple = ()) -> tuple[DataFrame, Broadcast]:
+    """``rows`` with a bucket, each a range of the order, and the drawn suffixes that divide it, bounded in number.
+
+    The last suffix of each bucket but the last is the one drawn; these have the columns ``carried`` too.
+    """
     spark = rows.sparkSession
     n = rows.count()
     wanted = int(min(SPLITTERS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)))
-    drawn = rows.select(*FIELDS).orderBy(F.xxhash64("uid", "p")).limit(wanted).toPandas()
+    drawn = rows.select(*FIELDS, *carried).orderBy(F.xxhash64("uid", "p")).limit(wanted).toPandas()
     order = sorted(range(len(drawn)), key=functools.cmp_to_key(lambda i, j: int(compare(*({k: drawn[k].to_numpy()[[m]] for k in FIELDS} for m in (i, j)))[0]))) if len(drawn) < 3000 else merge({k: drawn[k].to_numpy() for k in FIELDS})
-    shared = spark.sparkContext.broadcast({k: drawn[k].to_numpy()[order] for k in FIELDS})
+    cuts = {k: drawn[k].to_numpy()[order] for k in FIELDS}
+    cuts |= {k: np.array(drawn[k].tolist(), np.int64)[order] for k in carried if len(drawn)}
+    shared = spark.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value
+        cuts = {k: shared.value[k] for k in FIELDS}
         for b in batches:
             row = {k: b.column(b.schema.get_field_index(k)).to_numpy() for k in FIELDS}
             bucket = _place(row, cuts, len(cuts["p"])) if len(cuts["p"]) else np.zeros(b.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *b.columns], names=["bucket", *b.schema.names])
 
     schema = ", ".join(f"{c} {t}" for c, t in (("bucket", "long"), *rows.dtypes))
-    return rows.mapInArrow(run, schema).repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, schema).repartition("bucket").sortWithinPartitions("bucket"), shared
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,27 +198,36 @@ def _with_ranks(strings: DataFrame, depth: int) -> DataFrame:
     return strings.join(ranks, "uid", "left").select("uid", "c", "pr.p", "pr.rank", *rest)
 
 
-def suffix_ranks(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     """(uid, p, rank) of every place of ``strings`` (uid, c array<long>): its suffix's rank in the order of all suffixes."""
     strings = Stage(strings, "strings").df
     rows = Stage(_with_ranks(strings, depth).mapInArrow(_suffixes, ", ".join(f"{f} long" for f in FIELDS)), "suffixes").df
-    return _bucketed(rows).mapInArrow(_ranked, "uid long, p long, rank long")
+    return _bucketed(rows)[0].mapInArrow(_ranked, "uid long, p long, rank long")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, lo, hi): the bytes of the letters that each suffix shares with a neighbour in the order."""
-    for t, starts in group_runs(batches, ["bucket"]):
-        for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
-            part = t.slice(s, e - s).combine_chunks()
-            order = merge({k: part[k].to_numpy() for k in FIELDS})
-            letters = part["letters"].combine_chunks().flatten().to_numpy().reshape(-1, COMPARE)[order]
-            ends = part["ends"].combine_chunks().flatten().to_numpy().reshape(-1, COMPARE)[order]
-            same = (letters[1:] == letters[:-1]) & (letters[1:] != SEP)
-            shared = np.where(same.all(axis=1), COMPARE, (~same).argmax(axis=1))
-            most = np.maximum(np.append(0, shared), np.append(shared, 0))
-            hit = np.flatnonzero(most > 0)
-            at, uid = part["at"].to_numpy()[order][hit], part["uid"].to_numpy()[order][hit]
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(at), pa.array(ends[hit, most[hit] - 1])], ["uid", "lo", "hi"])
+def _neighbours(shared: Broadcast):
+    """(uid, i, lo, hi): the bytes of the letters that each suffix shares with a neighbour in the order.
+
+    The suffix before a bucket's first is the one drawn to end the bucket before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in group_runs(batches, ["bucket"]):
+            for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
+                part = t.slice(s, e - s).combine_chunks()
+                order, bucket = merge({k: part[k].to_numpy() for k in FIELDS}), int(part["bucket"][0].as_py())
+                rows = {k: part[k].to_numpy()[order] for k in ("uid", "p", "at")}
+                rows |= {k: part[k].combine_chunks().flatten().to_numpy().reshape(-1, COMPARE)[order] for k in ("letters", "ends")}
+                if bucket:
+                    rows = {k: np.concatenate([shared.value[k][bucket - 1 : bucket], v]) for k, v in rows.items()}
+                letters = rows["letters"]
+                same = (letters[1:] == letters[:-1]) & (letters[1:] != SEP)
+                agree = np.where(same.all(axis=1), COMPARE, (~same).argmax(axis=1))
+                most = np.maximum(np.append(0, agree), np.append(agree, 0))
+                hit = np.flatnonzero(most > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["uid"][hit]), pa.array(rows["p"][hit].astype(np.int32)), pa.array(rows["at"][hit]), pa.array(rows["ends"][hit, most[hit] - 1])], ["uid", "i", "lo", "hi"])
+
+    return run
 
 
 def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,18 +257,32 @@ def _placed_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in out)], ["uid", "c", "at", "end"])
 
 
-def _stretches(found: DataFrame, window: int) -> DataFrame:
+def depth_for(letters: int) -> int:
+    """Levels of names until each covers so many letters: three at the first, three times as many at each further one."""
+    depth = 0
+    while 3 ** (depth + 1) < letters:
+        depth += 1
+    return depth
+
+
+def _order(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The anchors whose suffix shares its first letter (their class) with a neighbour, and what neighbours share."""
     lists = F.sort_array(F.collect_set(F.struct(F.col("i").cast("long").alias("p"), "edge", "at", "end")))
-    placed = found.groupBy("uid").agg(lists.alias("x")).select("uid", "x.p", "x.edge", "x.at", "x.end")
-    strings = Stage(placed.mapInArrow(_placed_string, "uid long, c array<long>, at array<long>, end array<long>"), "strings").df
+    by_text = found.groupBy("uid").agg(lists.alias("x")).select("uid", "x.p", "x.edge", "x.at", "x.end")
+    strings = Stage(by_text.mapInArrow(_placed_string, "uid long, c array<long>, at array<long>, end array<long>"), "strings").df
+    depth = depth_for(found.agg(F.max("whole")).first()[0] or 1)
     schema = ", ".join([*(f"{f} long" for f in FIELDS), "at long", "letters array<long>", "ends array<long>"])
-    rows = Stage(_with_ranks(strings, DEPTH).mapInArrow(_lettered, schema), "suffixes").df
-    return _bucketed(rows).mapInArrow(_neighbours, "uid long, lo long, hi long")
+    rows = Stage(_with_ranks(strings, depth).mapInArrow(_lettered, schema), "suffixes").df
+    ordered, cuts = _bucketed(rows, ("at", "letters", "ends"))
+    shared = ordered.mapInArrow(_neighbours(cuts), "uid long, i int, lo long, hi long")
+    shared = Stage(shared.groupBy("uid", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "neighbours").df
+    anchors = found.join(shared.select("uid", "i"), ["uid", "i"], "left_semi").withColumn("cls", F.col("edge"))
+    return anchors, shared.where(F.col("hi") - F.col("lo") >= window).select("uid", "lo", "hi")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(uid, spans) of the bytes of each text that a string of ``window`` bytes that starts elsewhere too covers."""
-    return spans.repeated(docs, SHAPE if window == WINDOW else shape_for(window), _stretches)
+    return spans.repeated(docs, SHAPE if window == WINDOW else shape_for(window), _order)
 
 
 def _cut(text: bytes | None, runs: np.ndarray) -> tuple:
