@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import Stage
+from .shared import Stage, scratch
 
 WINDOW = 35
 SHAPE = spans.Shape(window=WINDOW, gram=6, reach=15, words=True)
@@ -49,10 +49,10 @@ def compact(edges: DataFrame) -> DataFrame:
     return now.df.select("edge", F.when(F.col("done"), F.col("path")).otherwise(F.col("edge")).alias("path"), F.when(F.col("done"), F.col("place")).otherwise(0).alias("place"))
 
 
-def placed(found: DataFrame) -> DataFrame:
-    """The anchors with the path and place of their edges."""
+def placed(anchors: DataFrame, found: DataFrame) -> DataFrame:
+    """``anchors`` with the path and place of their edges, in the graph of the edges of ``found``."""
     edges = Stage(found.groupBy("edge").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("next_node").alias("next_node")), "graph").df
-    return spans.join_split(found, compact(edges.drop("n")), "edge", spans.hot_keys(edges, "edge"))
+    return spans.join_split(anchors, compact(edges.drop("n")), "edge", spans.hot_keys(edges, "edge"))
 
 
 def walks(on: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def walks(on: DataFrame) -> DataFrame:
 
 def _paths(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The anchors, of one class at one place of a path, and the walks that another text takes too."""
-    on = Stage(placed(found), "on-paths").df
+    with scratch():
+        on = Stage(placed(found.drop("whole", "node", "next_node"), found), "on-paths").keep().df
     long = Stage(walks(on).where(F.col("hi") - F.col("lo") >= window), "walks").df
     many = long.groupBy("path", "a", "b").count().where("count > 1").select("path", "a", "b")
     return on.withColumn("cls", F.xxhash64("path", "place")), long.join(many, ["path", "a", "b"], "left_semi").select("uid", "lo", "hi")

@@ -261,7 +261,7 @@ def _settled(anchors: DataFrame, stretches: DataFrame) -> DataFrame:
     return events.withColumn("known", known).where("asks = 1").select(*kept, F.coalesce(F.col("known") >= F.col("hi"), F.lit(False)).alias("settled"))
 
 
-def _candidates(texts: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+def _candidates(texts: DataFrame, shape: Shape) -> tuple[Stage, DataFrame]:
     """The candidate anchors (DETAIL_SCHEMA), and the identities (uid) of rows that are there more than once."""
     edges = Stage(texts.mapInArrow(_edges(shape), "uid long, i int, edge long"), "edges")
     many = Stage(edges.df.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1"), "edge-counts")
@@ -270,17 +270,19 @@ def _candidates(texts: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     twins = Stage(edges.df.where("i = 0").groupBy("uid").count().where("count > 1").select("uid"), "twins").df
     edges.drop()
     many.drop()
-    found = Stage(texts.join(chosen.df, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors").df
+    found = Stage(texts.join(chosen.df, "uid").select("uid", "text", "chosen").mapInArrow(_details(shape), DETAIL_SCHEMA), "anchors")
     chosen.drop()
     return found, twins
 
 
 def _repeated(texts: DataFrame, shape: Shape, method: Method) -> DataFrame:
     found, twins = _candidates(texts, shape)
-    anchors, stretches = method(found, shape.window)
-    # a row that is there twice repeats itself
-    stretches = Stage(stretches.select("uid", "lo", "hi").union(found.join(twins, "uid", "left_semi").select("uid", "lo", "hi").distinct()), "stretches").df
-    rest = Stage(_settled(anchors, stretches), "rest").df
+    with scratch():
+        anchors, stretches = method(found.df, shape.window)
+        # a row that is there twice repeats itself
+        stretches = Stage(stretches.select("uid", "lo", "hi").union(found.df.join(twins, "uid", "left_semi").select("uid", "lo", "hi").distinct()), "stretches").keep().df
+        rest = Stage(_settled(anchors, stretches), "rest").keep().df
+    found.drop()
     classes = rest.groupBy("cls", "s1", "s2").agg(F.count("*").alias("n"), F.min("core").alias("core"), F.min(F.struct("uid", "i", "at", "lo", "hi")).alias("one"), F.min("settled").alias("settled"))
     classes = Stage(classes, "classes").df
     whole = rest.where("not settled").join(classes.where("n > 1").select("cls", "s1", "s2"), ["cls", "s1", "s2"]).select("uid", "lo", "hi")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import Stage, group_runs
+from .shared import Stage, group_runs, scratch
 
 WINDOW = 400
 SHAPE = spans.Shape(window=WINDOW, gram=24, reach=188, words=False)
@@ -201,7 +201,8 @@ def _with_ranks(strings: DataFrame, depth: int) -> DataFrame:
 def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     """(uid, p, rank) of every place of ``strings`` (uid, c array<long>): its suffix's rank in the order of all suffixes."""
     strings = Stage(strings, "strings").df
-    rows = Stage(_with_ranks(strings, depth).mapInArrow(_suffixes, ", ".join(f"{f} long" for f in FIELDS)), "suffixes").df
+    with scratch():
+        rows = Stage(_with_ranks(strings, depth).mapInArrow(_suffixes, ", ".join(f"{f} long" for f in FIELDS)), "suffixes").keep().df
     return _bucketed(rows)[0].mapInArrow(_ranked, "uid long, p long, rank long")
 
 
@@ -269,13 +270,16 @@ def _order(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The anchors whose suffix shares its first letter (their class) with a neighbour, and what neighbours share."""
     lists = F.sort_array(F.collect_set(F.struct(F.col("i").cast("long").alias("p"), "edge", "at", "end")))
     by_text = found.groupBy("uid").agg(lists.alias("x")).select("uid", "x.p", "x.edge", "x.at", "x.end")
-    strings = Stage(by_text.mapInArrow(_placed_string, "uid long, c array<long>, at array<long>, end array<long>"), "strings").df
+    strings = Stage(by_text.mapInArrow(_placed_string, "uid long, c array<long>, at array<long>, end array<long>"), "strings")
     depth = depth_for(found.agg(F.max("whole")).first()[0] or 1)
     schema = ", ".join([*(f"{f} long" for f in FIELDS), "at long", "letters array<long>", "ends array<long>"])
-    rows = Stage(_with_ranks(strings, depth).mapInArrow(_lettered, schema), "suffixes").df
-    ordered, cuts = _bucketed(rows, ("at", "letters", "ends"))
+    with scratch():
+        rows = Stage(_with_ranks(strings.df, depth).mapInArrow(_lettered, schema), "suffixes").keep()
+    strings.drop()
+    ordered, cuts = _bucketed(rows.df, ("at", "letters", "ends"))
     shared = ordered.mapInArrow(_neighbours(cuts), "uid long, i int, lo long, hi long")
     shared = Stage(shared.groupBy("uid", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "neighbours").df
+    rows.drop()
     anchors = found.join(shared.select("uid", "i"), ["uid", "i"], "left_semi").withColumn("cls", F.col("edge"))
     return anchors, shared.where(F.col("hi") - F.col("lo") >= window).select("uid", "lo", "hi")
 
