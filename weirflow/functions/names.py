@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .scalars import chain
 
 # fixed values: tokens that read as local or pure, and tokens that suggest an effect
-BENIGN = "settings config conf options opts util utils helper helpers model models dto entity format fmt parse get load new default validate valid render view build builder item entry record state context ctx info meta data value node field name key id path kind type status check init setup".split()
-EFFECTY = "fetch http https client api sync request req download upload query sql store save persist connect conn socket send recv read write open file fs io net tcp udp dns url host port cmd command shell process proc exec spawn env clock time now rand random log logger trace db".split()
+BENIGN = ["settings", "config", "conf", "options", "opts", "util", "utils", "helper", "helpers", "model", "models", "dto", "entity", "format", "fmt", "parse", "get", "load", "new", "default", "validate", "valid", "render", "view", "build", "builder", "item", "entry", "record", "state", "context", "ctx", "info", "meta", "data", "value", "node", "field", "name", "key", "id", "path", "kind", "type", "status", "check", "init", "setup"]
+EFFECTY = ["fetch", "http", "https", "client", "api", "sync", "request", "req", "download", "upload", "query", "sql", "store", "save", "persist", "connect", "conn", "socket", "send", "recv", "read", "write", "open", "file", "fs", "io", "net", "tcp", "udp", "dns", "url", "host", "port", "cmd", "command", "shell", "process", "proc", "exec", "spawn", "env", "clock", "time", "now", "rand", "random", "log", "logger", "trace", "db"]
 
 
 def match_tier(name: Column, query: str) -> Column:

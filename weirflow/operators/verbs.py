@@ -32,6 +32,13 @@ def select_one(candidates: DataFrame, query: str) -> str:
     return found[0]
 
 
+def known_effect(f: Facts, effect: str) -> str:
+    """The effect, if the vocabulary or the facts have it; a name that neither has is refused, so a typo is no empty answer."""
+    if effect not in (*EFFECTS, UNKNOWN) and f.inferred.where(F.col("effect") == effect).isEmpty():
+        raise Refused(f"unknown effect {effect!r} (known: {', '.join([*EFFECTS, UNKNOWN])})")
+    return effect
+
+
 def show(f: Facts, query: str) -> DataFrame:
     """fn, effect, how (direct or inherited) of the units that match best; a unit without effects has null ones."""
     units = best_matches(f.units.select("fn"), query)
@@ -41,7 +48,7 @@ def show(f: Facts, query: str) -> DataFrame:
 
 def where(f: Facts, effect: str | None = None) -> DataFrame:
     """effect, how, fn: who performs an effect itself and who through callees (not both)."""
-    rows = f.inferred if effect is None else f.inferred.where(F.col("effect") == effect)
+    rows = f.inferred if effect is None else f.inferred.where(F.col("effect") == known_effect(f, effect))
     return rows.join(f.direct.withColumn("own", F.lit(True)), ["fn", "effect"], "left").select("effect", F.when(F.col("own"), "directly").otherwise("inherited").alias("how"), "fn")
 
 
@@ -145,12 +152,15 @@ def impact(f: Facts, query: str) -> DataFrame:
 
 
 def blindspots(f: Facts, classes: list[str] | None = None) -> DataFrame:
-    """fn, why (sorted, joined by commas), reaches: units with reasons of their own, and how many others inherit from each."""
+    """fn, why (sorted, joined by commas), reaches: units with reasons of their own, and how many others inherit from each.
+
+    The widest reach stands first, of ties the least name.
+    """
     rows = f.reasons if not classes else f.reasons.where(scalars.reason_class(F.col("why")).isin(classes))
     sources = rows.groupBy("fn").agg(F.array_join(F.sort_array(F.collect_set("why")), ",").alias("why"))
     pairs = graph.closure(f.callers, sources.select(F.col("fn").alias("source"), F.col("fn").alias("node")), ["source"]).where("hops > 0")
     reach = pairs.groupBy(F.col("source").alias("fn")).agg(F.count("*").alias("reaches"))
-    return sources.join(reach, "fn", "left").select("fn", "why", F.coalesce("reaches", F.lit(0)).alias("reaches"))
+    return sources.join(reach, "fn", "left").select("fn", "why", F.coalesce("reaches", F.lit(0)).alias("reaches")).orderBy(F.desc("reaches"), "fn")
 
 
 def blindspot_stats(f: Facts) -> DataFrame:
@@ -166,6 +176,7 @@ def path(f: Facts, query: str, effect: str) -> DataFrame:
     Of equally short chains the one whose names come first is taken.  No chain: no rows.
     """
     start = select_one(f.units, query)
+    effect = known_effect(f, effect)
     carriers = f.inferred.where(F.col("effect") == effect).select(F.col("fn").alias("dst"))
     steps = f.edges.join(carriers, "dst").select(F.lit(effect).alias("key"), "src", "dst")
     starts = f.units.where(F.col("fn") == start).select(F.lit(effect).alias("key"), F.col("fn").alias("node")).distinct()

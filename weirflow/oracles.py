@@ -103,11 +103,12 @@ SQL: dict[str, str] = {
     "reachable": f"{_NOW} SELECT effect, count(*)::BIGINT AS entry_points FROM inferred WHERE fn IN (SELECT fn FROM units WHERE entry_point) GROUP BY effect",
     "containment": f"{_NOW}, placed AS (SELECT effect, {_LAYER} AS layer, count(*) AS n FROM direct WHERE effect IN {_CONTAINED} GROUP BY ALL) SELECT effect, count(*)::BIGINT AS layers, arg_max(layer, (n, layer)) AS owner, (100 * max(n) // sum(n))::BIGINT AS percent FROM placed GROUP BY effect",
     "ambient_layers": f"{_NOW} SELECT effect, count(DISTINCT {_LAYER})::BIGINT AS layers FROM direct WHERE effect IN ('Log', 'Clock', 'Rand', 'Env') GROUP BY effect",
-    "containment_ratchet": f"""{_BOTH}, a AS (SELECT DISTINCT effect, {_LAYER} AS layer FROM direct WHERE effect IN {_CONTAINED}), b AS (SELECT DISTINCT effect, {_LAYER} AS layer FROM direct_old WHERE effect IN {_CONTAINED})
+    "containment_ratchet": f"""{_NOW}, b0 AS (SELECT * FROM direct WHERE effect <> 'Fs' UNION SELECT fn, 'Fs' FROM units WHERE fn LIKE 'app::supplier%'),
+        a AS (SELECT DISTINCT effect, {_LAYER} AS layer FROM direct WHERE effect IN {_CONTAINED}), b AS (SELECT DISTINCT effect, {_LAYER} AS layer FROM b0 WHERE effect IN {_CONTAINED})
         SELECT *, 'leak' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'cleanup' FROM (FROM b EXCEPT FROM a)""",
     "callers": f"{_NOW}{_LEVELS.format(match=_MATCH.format(q='supplier::s1'))} SELECT fn, hops = 1 AS direct, hops::INT AS hops FROM near WHERE hops IS NOT NULL",
-    "possible_callers": f"""{_NOW}, sure AS (SELECT 'app::customer::c1' AS fn UNION SELECT e.src FROM sure s JOIN edges e ON e.dst = s.fn)
-        SELECT fn, why FROM reasons WHERE why = 'dispatch:Owner.m' AND EXISTS (SELECT 1 FROM sure WHERE fn LIKE '%::m') AND fn NOT IN (SELECT fn FROM sure)""",
+    "possible_callers": f"""{_NOW}, asks AS (SELECT fn, CASE WHEN (regexp_extract(fn, '([0-9]+)$', 1)::BIGINT // 4) % 5 = 0 THEN 2 ELSE 1 END AS m FROM reasons WHERE why LIKE 'dispatch%')
+        SELECT fn, 'dispatch:app::supplier.s' || m AS why FROM asks WHERE m = 1""",
     "impact": f"{_NOW}{_LEVELS.format(match=_MATCH.format(q='app::supplier::s1'))} SELECT n.fn, n.hops::INT AS hops, u.entry_point FROM near n JOIN units u ON u.fn = n.fn WHERE n.least > 0",
     "path": f"{_NOW}{_PATH} SELECT (s - 1)::INT AS step, path[s] AS fn, s = len(path) AS source FROM best, generate_series(1, len(path)) g(s)",
     "blindspots": f"""{_NOW}, up AS (SELECT fn AS source, fn FROM reasons UNION SELECT u.source, e.src FROM up u JOIN edges e ON e.dst = u.fn)
@@ -135,16 +136,18 @@ SQL: dict[str, str] = {
         SELECT 'AS-EFF-005' AS rule, fn, string_agg(effect, ',' ORDER BY effect) AS effects, CASE WHEN bool_or(old) THEN 'existing' ELSE 'new' END AS origin, string_agg(effect, ',' ORDER BY effect) = 'Unknown' AS advisory FROM g GROUP BY fn""",
     "receipt": f"{_NOW} SELECT v.position::INT AS position, v.effect AS key, count(i.fn)::VARCHAR AS value FROM {_VOCAB} LEFT JOIN inferred i ON i.effect = v.effect GROUP BY ALL",
     "gate_deny": f"{_NOW}{_CLASSES}{_hits()} SELECT 'AS-EFF-006' AS rule, raw, fn, string_agg(effect, ',' ORDER BY effect) AS effects, '' AS detail FROM hits GROUP BY raw, fn",
-    "gate_withheld": f"{_NOW}{_CLASSES} SELECT 'deny Unknown[dispatch,native] app::customer' AS raw, fn, effect FROM inferred WHERE effect = 'Unknown' AND fn LIKE 'app::customer%' AND fn NOT IN (SELECT fn FROM classes)",
+    "gate_withheld": f"{_NOW}{_CLASSES} SELECT 'deny Unknown[dispatch,native] app::customer' AS raw, fn, 'Unknown' AS effect FROM units WHERE fn LIKE 'app::customer%' AND fn NOT IN (SELECT fn FROM classes)",
     "gate_allow": f"""{_NOW}, lits AS (SELECT * FROM literals) 
         SELECT 'allow Net in supplier blog.therst.example.net m.tionsh.example.net' AS raw, fn, detail FROM (
           SELECT i.fn, CASE WHEN count(l.value) = 0 THEN 'no visible literal' ELSE string_agg(DISTINCT l.value, ',' ORDER BY l.value) FILTER (l.value NOT IN ('blog.therst.example.net', 'm.tionsh.example.net')) END AS detail
           FROM inferred i LEFT JOIN lits l ON l.fn = i.fn AND l.kind = 'hosts' WHERE i.effect = 'Net' AND i.fn LIKE 'app::supplier%' GROUP BY i.fn) WHERE detail IS NOT NULL
         UNION ALL SELECT 'allow Fs in app::part /data/economy /data/promo', i.fn, l.value FROM inferred i JOIN lits l ON l.fn = i.fn AND l.kind = 'paths'
           WHERE i.effect = 'Fs' AND i.fn LIKE 'app::part%' AND NOT regexp_matches(l.value, '^/data/(economy|promo)/')""",
-    "gate_forbid": f"""{_NOW}, above AS (SELECT src AS fn FROM edges WHERE dst LIKE 'app::supplier%' UNION SELECT e.src FROM above a JOIN edges e ON e.dst = a.fn),
-        over_ AS (SELECT src AS fn FROM edges WHERE dst LIKE 'app::order%' UNION SELECT e.src FROM over_ a JOIN edges e ON e.dst = a.fn)
-        SELECT 'forbid customer -> supplier' AS raw, fn FROM above WHERE fn LIKE 'app::customer%' UNION ALL SELECT 'forbid app::part -> app::order', fn FROM over_ WHERE fn LIKE 'app::part%'""",
+    "gate_forbid": f"""{_NOW}, rs(fn, source, hops) AS (
+          SELECT src, dst, 1 FROM edges WHERE dst LIKE 'app::supplier%' AND src LIKE 'app::order%'
+          UNION SELECT e.src, r.source, r.hops + 1 FROM rs r JOIN edges e ON e.dst = r.fn WHERE r.hops < 5 AND (e.src LIKE 'app::order%' OR e.src LIKE 'app::customer%')
+        ), least_ AS (SELECT fn, min(hops) AS hops FROM rs GROUP BY fn)
+        SELECT 'forbid customer -> supplier' AS raw, r.fn, 'via ' || min(r.source) AS detail FROM rs r JOIN least_ l ON l.fn = r.fn AND l.hops = r.hops WHERE r.fn LIKE 'app::customer%' GROUP BY r.fn""",
     "gate_only": f"{_NOW} SELECT DISTINCT 'only app::order -> app::part' AS raw, src AS fn FROM edges WHERE src LIKE 'app::order%' AND dst NOT LIKE 'app::order%' AND dst NOT LIKE 'app::part::%'",
     "gate_scope_binding": f"{_NOW}{_NAMES} {_binding()}",
     "gate_zero_match": f"{_NOW}{_NAMES} SELECT * FROM ({_binding()}) WHERE names = 0",
@@ -172,8 +175,44 @@ SQL: dict[str, str] = {
         SELECT 'AS-EFF-001' AS rule, fn, string_agg(effect, ',' ORDER BY effect) AS effects FROM has WHERE effect NOT IN ('Net', 'Db', 'Unknown') AND fn LIKE 'app::nation%' GROUP BY fn
         UNION ALL SELECT 'AS-EFF-002', d.fn, string_agg(e, ',' ORDER BY e) FROM d, (VALUES ('Net'), ('Db')) v(e) WHERE (d.fn, e) NOT IN (SELECT (fn, effect) FROM has) GROUP BY d.fn
         UNION ALL SELECT 'AS-EFF-003', fn, 'Unknown' FROM has WHERE effect = 'Unknown' AND fn LIKE 'app::nation%'""",
-    "coverage_delta": "WITH a AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size <= 3), b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size >= 48) SELECT name, 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT name, 'removed' FROM (FROM b EXCEPT FROM a)",
+    "coverage_delta": "WITH p AS (SELECT l_orderkey, l_partkey || '@' || l_suppkey AS name FROM lineitem), a AS (SELECT DISTINCT name FROM p WHERE l_orderkey % 5 <> 0), b AS (SELECT DISTINCT name FROM p WHERE l_orderkey % 7 <> 0) SELECT name, 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT name, 'removed' FROM (FROM b EXCEPT FROM a)",
     "twin_names": "SELECT p_name AS fn, count(DISTINCT p_partkey)::BIGINT AS units FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) > 1",
     "accept_proposals": f"{_NOW} SELECT 'accept ' || fn || ' ' || string_agg(effect, ' ' ORDER BY effect) || ' for deny Net Db app::nation because agreed' AS line FROM inferred WHERE fn LIKE 'app::nation%' AND effect IN ('Net', 'Db') GROUP BY fn",
     "first_broken_rule": f"""{_NOW} SELECT fn, CASE WHEN fn LIKE 'app::nation%' AND bool_or(effect = 'Db') THEN 'deny Db app::nation' WHEN bool_or(effect = 'Net') THEN 'deny Net' ELSE 'pure app' END AS raw FROM inferred WHERE effect <> 'Unknown' GROUP BY fn""",
+    "explain_unit": f"""{_NOW}, walk(fn, path) AS (
+          SELECT 'app::region::r1', ['app::region::r1'] UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.fn WHERE len(w.path) < 5
+        ), ends AS (SELECT d.effect, w.path FROM walk w JOIN direct d ON d.fn = w.fn)
+        SELECT effect, array_to_string(path, ' > ') AS path FROM ends QUALIFY row_number() OVER (PARTITION BY effect ORDER BY len(path), path) = 1""",
+    "uncovered_packages": """WITH seen AS (SELECT lower(p_type) || '_' || replace(p_name, ' ', '_') AS name FROM part UNION SELECT lower(p_type) FROM part UNION SELECT replace(p_name, ' ', '_') FROM part)
+        SELECT name FROM seen WHERE name NOT IN ('promo', 'red_bolt', 'medium') AND NOT starts_with(name, 'promo_') AND NOT starts_with(name, 'red_bolt_') AND NOT starts_with(name, 'eco') AND NOT starts_with(name, 'small_r')
+          AND name NOT IN (SELECT replace(p_name, ' ', '_') FROM part WHERE p_size = 1)""",
+    "user_rules": """WITH c AS (SELECT 'app::order::o' || l_orderkey AS fn, lower(p_type) AS package, lower(p_type) || '::' || replace(p_name, ' ', '_') AS path FROM lineitem JOIN part ON l_partkey = p_partkey)
+        SELECT fn, 'Net' AS effect FROM c WHERE package = 'promo' UNION SELECT fn, 'Fs' FROM c WHERE starts_with(path, 'economy::small') UNION SELECT fn, 'Db' FROM c WHERE starts_with(path, 'standard::')""",
+    "dispatch_targets": "SELECT DISTINCT 'app::customer::c' || c_custkey AS src, 'app::nation::n' || n_nationkey AS dst FROM customer JOIN nation ON c_mktsegment = ['MACHINERY', 'BUILDING', 'AUTOMOBILE', 'HOUSEHOLD', 'nothing'][n_nationkey % 5 + 1]",
+    "dispatch_unknown": "SELECT DISTINCT 'app::customer::c' || c_custkey AS fn, 'dispatch:' || c_mktsegment || '.run' AS why FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE', 'HOUSEHOLD')",
+    "late_unknown": f"{_NOW} SELECT fn, effect FROM inferred UNION SELECT fn, 'Unknown' FROM units WHERE fn LIKE 'app::customer%'",
+    "tour_caveat": f"{_NOW}, c AS (SELECT count(DISTINCT fn) FILTER (effect = 'Unknown') AS unknown, count(DISTINCT fn) AS total FROM inferred) SELECT unknown, total, total > 0 AND unknown * 3 >= total AS caveat FROM c",
+    "enforcement_scope": f"{_NOW} SELECT fn, false AS unset, true AS whole, true AS blank, fn LIKE 'app::part%' AS prefix FROM units",
+    "scalar_reason_match": f"""{_NOW}, own AS (SELECT DISTINCT fn, {_CLASS} AS class FROM reasons)
+        SELECT fn, fn IN (SELECT fn FROM own WHERE class = 'dispatch') AS dispatch, fn NOT IN (SELECT fn FROM own) AS unresolved, fn NOT IN (SELECT fn FROM own) OR fn IN (SELECT fn FROM own WHERE class = 'native') AS native_or_unresolved FROM units""",
+    "scalar_fs_kind": "SELECT p_partkey, ['read', 'write', 'read,write', '', 'read', '', ''][p_partkey % 7 + 1] AS kind FROM part",
+    "scalar_spec": "SELECT p_partkey, p_partkey % 10 = 0 OR p_size < 9 OR (p_size = 9 AND p_partkey % 60 < 30) AS older FROM part",
+    "scalar_keys": "SELECT p_partkey, 'deny ' || p_type || ' ' || p_name AS rule, p_partkey % 3 = 0 AS positional, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_partkey::VARCHAR END AS key FROM part",
+    "scalar_segments": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type || '/' || replace(p_name, ' ', '.') ELSE p_type || '/' || replace(p_name, ' ', '/') END AS segments, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 2 + len(p_name) - len(replace(p_name, ' ', '')) END::INT AS n FROM part",
+    "key_states": "SELECT p_partkey, ['present', 'absent', 'corrupt', 'present', 'corrupt'][p_partkey % 5 + 1] AS state, [2, -1, -1, 0, -1][p_partkey % 5 + 1]::INT AS n FROM part",
+    "merged_repeats": "SELECT p_name AS fn, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS inferred, string_agg(DISTINCT p_size::VARCHAR, ',' ORDER BY p_size::VARCHAR) AS direct, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS calls FROM part GROUP BY p_name",
+    "last_of_repeats": "SELECT p_name AS fn, p_brand AS path, p_partkey AS pos FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_brand DESC, p_partkey DESC) = 1",
+    "resolved_calls": """WITH u AS (SELECT p_brand || '#' || p_partkey AS key, p_brand AS package, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' ' || p_partkey ELSE p_name END AS fn, unnest(['red bolt', 'red bolt 4', p_type, p_name || ' 8']) AS call FROM part),
+        n AS (SELECT fn, count(DISTINCT key) AS n, min(key) AS only_ FROM u GROUP BY fn), s AS (SELECT package, fn, min(key) AS same FROM u GROUP BY package, fn)
+        SELECT u.key AS caller, u.call, coalesce(s.same, CASE WHEN n.n = 1 THEN n.only_ END) AS target, s.same IS NULL AND coalesce(n.n, 0) > 1 AS ambiguous
+        FROM u LEFT JOIN n ON n.fn = u.call LEFT JOIN s ON s.fn = u.call AND s.package = u.package""",
+    "dependency_effects": """WITH v AS (SELECT p_name AS fn, min(p_partkey) % 2 = 0 AS mine FROM part GROUP BY p_name), e AS (SELECT DISTINCT p_name AS fn, lower(p_type) AS effect FROM part)
+        SELECT DISTINCT 'p' || p_partkey AS fn, CASE WHEN mine THEN effect ELSE 'Unknown' END AS effect FROM part JOIN v ON v.fn = p_name JOIN e ON e.fn = p_name""",
+    "tainted_effects": "SELECT 'AS-EFF-007' AS rule, 'u' || user_id AS fn, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS effects FROM events WHERE value > 50 GROUP BY user_id",
+    "zero_match_parts": "SELECT l_partkey::VARCHAR AS rule, 0::BIGINT AS count FROM lineitem GROUP BY l_partkey HAVING count(*) FILTER (l_quantity > 40) = 0",
+    "violation_order": f"""{_NOW}{_CLASSES}{_hits()}, rows_ AS (
+          SELECT 'AS-EFF-006' AS rule, raw, fn, string_agg(effect, ',' ORDER BY effect) AS effects FROM hits GROUP BY raw, fn
+          UNION ALL SELECT 'AS-EFF-004', '', fn, string_agg(effect, ',' ORDER BY effect) FROM direct WHERE effect NOT IN ('Log', 'Unknown') GROUP BY fn
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY fn, raw)::INT AS place FROM rows_)
+        SELECT rule, place, fn, raw, effects FROM placed WHERE place <= 20""",
 }

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .facts import Facts
 from .functions import names, scalars
-from .operators import gate, snapshots, verbs
+from .operators import completeness, extensions, gate, snapshots, verbs
 from .plans import policy as P
-from .sources import bridge
+from .sources import bridge, reports
 
 #: Cached facts of a session, so that queries that ask about the same tables share one fixpoint.
 _facts: dict[tuple, object] = {}
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables of a folder were written, so that changed tables get new facts."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)
+
+
+def _with(f: Facts, **changes) -> Facts:
+    """The facts with some tables replaced; the fixpoint stays where what it is made from does."""
+    out = replace(f, **changes)
+    if not {"edges", "direct", "reasons"} & set(changes):
+        out.__dict__["masks"] = f.masks
+    return out
+
+
 def facts(spark: SparkSession, sf_dir: str, baseline: bool = False):
-    key = (spark.sparkContext.applicationId, sf_dir, baseline)
+    key = (spark.sparkContext.applicationId, sf_dir, _written(spark, sf_dir), baseline)
     if key not in _facts:
         if len(_facts) > 8:
             _facts.clear()
@@ -110,8 +128,10 @@ def ambient_layers(spark, sf):
 
 @query
 def containment_ratchet(spark, sf):
-    now, before = facts(spark, sf), facts(spark, sf, True)
-    return verbs.containment_changes(now, before)
+    """Fs moved from suppliers to parts since a snapshot."""
+    now = facts(spark, sf)
+    moved = now.direct.where("effect <> 'Fs'").union(now.units.where("fn like 'app::supplier%'").select("fn", F.lit("Fs")))
+    return verbs.containment_changes(now, _with(now, direct=moved))
 
 
 @query
@@ -121,7 +141,11 @@ def callers(spark, sf):
 
 @query
 def possible_callers(spark, sf):
-    return verbs.possible_callers(facts(spark, sf), "customer::c1")
+    """Dispatches to the member s1 or s2 of a supplier, of which the target is one."""
+    f = facts(spark, sf)
+    key = F.regexp_extract("fn", "([0-9]+)$", 1).cast("long")
+    why = F.when(F.col("why").startswith("dispatch"), F.concat(F.lit("dispatch:app::supplier.s"), F.when(F.floor(key / 4) % 5 == 0, "2").otherwise("1"))).otherwise(F.col("why"))
+    return verbs.possible_callers(_with(f, reasons=f.reasons.select("fn", why.alias("why"))), TARGET)
 
 
 @query
@@ -217,7 +241,10 @@ def gate_deny(spark, sf):
 
 @query
 def gate_withheld(spark, sf):
-    return gate.withheld(facts(spark, sf), P.parse(POLICY))
+    """All customers are reported Unknown, some without any reason."""
+    f = facts(spark, sf)
+    given = f.inferred.union(f.units.where("fn like 'app::customer%'").select("fn", F.lit("Unknown"))).distinct()
+    return gate.withheld(_with(f, given=given), P.parse(POLICY))
 
 
 @query
@@ -227,7 +254,7 @@ def gate_allow(spark, sf):
 
 @query
 def gate_forbid(spark, sf):
-    return gate.forbidden(facts(spark, sf), P.parse(POLICY)).select("raw", "fn")
+    return gate.forbidden(facts(spark, sf), P.parse(POLICY)).select("raw", "fn", "detail")
 
 
 @query
@@ -350,9 +377,9 @@ def capability_conformance(spark, sf):
 
 @query
 def coverage_delta(spark, sf):
-    """Brands of small parts against those of large ones."""
-    part = bridge.table(spark, sf, "part").withColumnRenamed("p_brand", "name")
-    return snapshots.coverage_delta(part.where("p_size <= 3"), part.where("p_size >= 48"))
+    """Pairs of part and supplier in two snapshots of the orders."""
+    pairs = bridge.table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws("@", "l_partkey", "l_suppkey").alias("name"))
+    return snapshots.coverage_delta(pairs.where("l_orderkey % 5 <> 0"), pairs.where("l_orderkey % 7 <> 0"))
 
 
 @query
@@ -378,3 +405,173 @@ def first_broken_rule(spark, sf):
 def explain_unit(spark, sf):
     """For each effect of a region the shortest chain to a unit that performs it."""
     return verbs.explain(facts(spark, sf), "app::region::r1")
+
+
+@query
+def uncovered_packages(spark, sf):
+    """Kinds of parts as packages, some calibrated by name, by name and underscore, or by prefix, some analyzed."""
+    part = bridge.table(spark, sf, "part")
+    kind, what = F.lower("p_type"), F.translate("p_name", " ", "_")
+    seen = part.select(F.concat_ws("_", kind, what).alias("name")).union(part.select(kind)).union(part.select(what))
+    return extensions.uncovered(seen, part.where("p_size = 1").select(what.alias("name")), ["promo", "red_bolt"], ["eco", "small_r"], ["medium"])
+
+
+RULES = """
+# classes of calls that this project adds
+Net crate promo
+Fs path economy::small
+Db   path standard::
+Nothing crate large
+Exec crate
+"""
+
+
+@query
+def user_rules(spark, sf):
+    """M1: orders call parts by path; a user's rules say what that does."""
+    path_ = F.concat_ws("::", F.lower("p_type"), F.translate("p_name", " ", "_"))
+    part = bridge.table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("package"), path_.alias("path"))
+    calls = bridge.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("app::order::o"), "l_orderkey").alias("fn"), "package", "path")
+    return extensions.classify(calls, extensions.parse_rules(RULES))
+
+
+def _dispatch(spark, sf):
+    segment = F.element_at(F.array(*map(F.lit, ("MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "nothing"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    impls = bridge.table(spark, sf, "nation").select(segment.alias("trait"), F.lit("run").alias("method"), F.concat(F.lit("app::nation::n"), "n_nationkey").alias("target"))
+    calls = bridge.table(spark, sf, "customer").select(F.concat(F.lit("app::customer::c"), "c_custkey").alias("fn"), F.col("c_mktsegment").alias("trait"), F.lit("run").alias("method"))
+    return extensions.dispatch_targets(calls, impls)
+
+
+@query
+def dispatch_targets(spark, sf):
+    """Market segments as traits that nations implement."""
+    return _dispatch(spark, sf)[0]
+
+
+@query
+def dispatch_unknown(spark, sf):
+    """Segments without an implementation."""
+    return _dispatch(spark, sf)[1]
+
+
+@query
+def late_unknown(spark, sf):
+    """E5: customers become Unknown after the fixpoint, nations above them don't."""
+    f = facts(spark, sf)
+    return extensions.with_late_unknown(f, f.units.where("fn like 'app::customer%'").select("fn"))
+
+
+@query
+def tour_caveat(spark, sf):
+    return extensions.unknown_caveat(facts(spark, sf))
+
+
+@query
+def enforcement_scope(spark, sf):
+    fn = F.col("fn")
+    return facts(spark, sf).units.select("fn", *(extensions.in_scope(s, fn).alias(n) for s, n in ((None, "unset"), ("1", "whole"), ("", "blank"), ("app::part", "prefix"))))
+
+
+@query
+def scalar_reason_match(spark, sf):
+    """Classes of a unit's own reasons against wanted ones; none count as unresolved."""
+    f = facts(spark, sf)
+    own = f.reasons.groupBy("fn").agg(F.collect_set(scalars.reason_class(F.col("why"))).alias("classes"))
+    rows = f.units.join(own, "fn", "left")
+    return rows.select("fn", *(scalars.reason_class_matches(F.col("classes"), w).alias("_or_".join(w)) for w in (["dispatch"], ["unresolved"], ["native", "unresolved"])))
+
+
+@query
+def scalar_fs_kind(spark, sf):
+    """What the last name of a file operation does."""
+    ops = ["std::fs::read_to_string", "std::fs::write", "std::fs::copy", "std::fs::OpenOptions::open", "std::fs::metadata", "app::tidy", "std::fs::create_dir_all::<P>"]
+    op = F.element_at(F.array(*map(F.lit, ops)), (F.col("p_partkey") % len(ops) + 1).cast("int"))
+    return bridge.table(spark, sf, "part").select("p_partkey", F.array_join(F.sort_array(scalars.fs_kind(op)), ",").alias("kind"))
+
+
+@query
+def scalar_spec(spark, sf):
+    """Versions as numbers, not as text."""
+    spec = F.when(F.col("p_partkey") % 10 == 0, "draft").otherwise(F.concat_ws(".", "p_size", F.col("p_partkey") % 60))
+    return bridge.table(spark, sf, "part").select("p_partkey", scalars.spec_predates(spec, 9, 30).alias("older"))
+
+
+@query
+def scalar_keys(spark, sf):
+    """Rule texts, positional names, keys of entries."""
+    part = bridge.table(spark, sf, "part")
+    closure = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_brand"), F.lit("::{closure#"), "p_size", F.lit("}"))).otherwise(F.concat(F.col("p_brand"), F.lit("::{closure}")))
+    hash_ = F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.col("p_partkey").cast("string"))
+    return part.select("p_partkey", scalars.rule_key(F.concat(F.lit("  deny\t"), "p_type", F.lit("  \n "), "p_name", F.lit(" "))).alias("rule"), scalars.is_positional(closure).alias("positional"), scalars.entry_key(hash_, F.col("p_name")).alias("key"))
+
+
+@query
+def scalar_segments(spark, sf):
+    """Names cut on :: where they have it, else on dots."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("::", "p_type", F.translate("p_name", " ", "."))).otherwise(F.concat_ws(".", "p_type", F.translate("p_name", " ", ".")))
+    return bridge.table(spark, sf, "part").select("p_partkey", F.array_join(names.segments(name), "/").alias("segments"), F.size(names.segments(name)).alias("n"))
+
+
+@query
+def key_states(spark, sf):
+    """A key of an envelope is absent, present or corrupt."""
+    text = F.element_at(F.array(*map(F.lit, ('{"switches":["a","b"]}', "{}", '{"switches":5}', '{"switches":[]}', '{"switches":{"a":1}}'))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    state, value = reports.key_state(text, "switches")
+    return bridge.table(spark, sf, "part").select("p_partkey", state.alias("state"), F.coalesce(F.size(value), F.lit(-1)).alias("n"))
+
+
+def _repeats(spark, sf):
+    part = bridge.table(spark, sf, "part")
+    return part.select(F.col("p_name").alias("fn"), F.col("p_brand").alias("path"), F.col("p_partkey").alias("pos"), F.array("p_type").alias("inferred"), F.array(F.col("p_size").cast("string")).alias("direct"), F.array("p_brand").alias("calls"))
+
+
+@query
+def merged_repeats(spark, sf):
+    """A5: the sets of repeated names united."""
+    return reports.merged(_repeats(spark, sf)).select("fn", *(F.array_join(c, ",").alias(c) for c in ("inferred", "direct", "calls")))
+
+
+@query
+def last_of_repeats(spark, sf):
+    """D3: of repeated names the last by file and place."""
+    return reports.last_of_name(_repeats(spark, sf)).select("fn", "path", "pos")
+
+
+@query
+def resolved_calls(spark, sf):
+    """Part names called from brands: in the brand, the only one anywhere, or ambiguous."""
+    part = bridge.table(spark, sf, "part")
+    rows = part.select(F.concat_ws("#", "p_brand", "p_partkey").alias("key"), F.col("p_brand").alias("package"), F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(" "), "p_partkey")).otherwise(F.col("p_name")).alias("fn"), F.array(F.lit("red bolt"), F.lit("red bolt 4"), F.col("p_type"), F.concat(F.col("p_name"), F.lit(" 8"))).alias("calls"))
+    return reports.resolve_calls(rows)
+
+
+@query
+def dependency_effects(spark, sf):
+    """Effects from packages scanned before; another version's say only Unknown."""
+    part = bridge.table(spark, sf, "part")
+    rows = part.select(F.concat(F.lit("p"), "p_partkey").alias("fn"), F.array("p_name", "p_type").alias("calls"))
+    deps = part.groupBy(F.col("p_name").alias("fn")).agg(F.sort_array(F.collect_set(F.lower("p_type"))).alias("effects"), F.when(F.min("p_partkey") % 2 == 0, "2").otherwise("1").alias("version"))
+    return reports.chained(rows, deps, "2")
+
+
+@query
+def tainted_effects(spark, sf):
+    """Effects of events that a caller's value feeds."""
+    events = bridge.table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("fn"), F.col("event_type").alias("effect"), (F.col("value") > 50).alias("tainted"))
+    return gate.tainted(events).select("rule", "fn", "effects")
+
+
+@query
+def zero_match_parts(spark, sf):
+    """Counts of matches a rule over several parts of a verdict; the rules that matched nothing in any."""
+    parts = bridge.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("rule"), "l_returnflag").agg(F.count_if(F.col("l_quantity") > 40).alias("count"))
+    return completeness.assemble(parts.select(F.col("rule").cast("string"), "count"))
+
+
+@query
+def violation_order(spark, sf):
+    """The first violations in the order of rule, detail and unit."""
+    f, p = facts(spark, sf), P.parse(POLICY)
+    rows = gate.denied(f, p).unionByName(gate.ambient_authority(f))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("detail", "fn", "raw"))
+    return rows.withColumn("place", place).where("place <= 20").select("rule", "place", "fn", "raw", "effects")
