@@ -487,6 +487,26 @@ def test_chunks_cover_the_text():
     assert net.scores([b"good text here"])[0] > 0.5 > net.scores([b"!!!!"])[0] and len(net.scores([b"", text * 60])) == 2
 
 
+def test_scores_equal_a_plain_convolution():
+    rng = np.random.default_rng(2)
+    net = quality.fit([b"some good text", b"!!##!!"] * 6, np.array([1, 0] * 6), epochs=3)
+    for text in (b"", b"a", b"short text", bytes(rng.integers(1, 256, 700, dtype=np.uint8)), b"long " * 900):
+        rows = quality.chunks(text)
+        best = np.array([[max(sum(float(net.table[j][row[i + j]][f]) for j in range(quality.WIDTH)) for i in range(quality.CHUNK - quality.WIDTH + 1)) for f in range(3)] for row in rows[:3]])
+        got = quality._responses(net, rows, False)[0]
+        assert np.allclose(np.maximum(best + net.bias[:3], 0), got[:3, :3], atol=1e-3)
+        pooled = np.concatenate([got.mean(axis=0), got.max(axis=0)])
+        assert abs(1 / (1 + np.exp(-(pooled @ net.weight + net.offset))) - net.scores([text])[0]) < 1e-4
+
+
+def test_clashing_columns_stay(spark):
+    frame = spark.createDataFrame([(1, "good text that stays here", 5, 6.0, "a", 7), (2, PASSAGE, 8, 9.0, "b", 1), (3, PASSAGE, 3, 2.0, "c", 0)], "doc_id long, text string, n int, score double, spans string, uid__x int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert {(r["doc_id"], r["score"]) for r in quality.keep_good(frame, labels, threshold=0.0).collect()} == {(1, 6.0), (2, 9.0), (3, 2.0)}
+    assert {(r["doc_id"], r["n"]) for r in simhash.keep_one(frame).collect()} == {(1, 5), (2, 8)}
+    assert {(r["doc_id"], r["spans"], r["n_removed"]) for r in debruijn.dedup(frame).collect()} == {(1, "a", 0), (2, "b", 70), (3, "c", 70)}
+
+
 def brute_vectors(rows):
     n = len(rows)
     ok = [bool(v) and None not in v and np.isfinite(v).all() and any(v) and lab is not None for _, v, lab in rows]
@@ -580,6 +600,20 @@ def test_components(spark):
     assert got == {x: forest.find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and an empty table pass through every stage."""
+    import corpus_pipeline as C
+
+    for rows in (ODD, []):
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t, *_ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        for name, stage in C.STAGES:
+            docs = stage(spark, docs, SF)
+            if name != "packing":
+                docs = shared.Stage(docs, "odd").df
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert bool(docs.collect()) == bool(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 

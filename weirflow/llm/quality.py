@@ -167,8 +167,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
     return fit([t.encode() for t in drawn["text"]], (drawn["quality"] == 1).to_numpy(), seed=seed)
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with a column score, double: the whole text's probability of label 1.  Null and empty texts are scored too."""
+def score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (an input column of that name replaced), double: the whole text's probability of label 1.
+
+    Null and empty texts have the score of no text, very long ones are read whole, equal texts score the same, repeated
+    rows are scored each; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +180,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             texts = b.column(0).cast(pa.binary())
             scores = [shared.value.scores([t or b"" for t in texts.slice(i, 500).to_pylist()]) for i in range(0, b.num_rows, 500)]
             score_col = pa.array(np.concatenate(scores).astype(float) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], score_col], names=[*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], score_col], names=[*b.schema.names[1:], name])
 
     text = F.col("text").cast("string").alias("text__score")
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
     names = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(text, *kept).mapInArrow(run, f"{names}, score double")
+    return docs.select(text, *kept).mapInArrow(run, f"{names}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -194,8 +198,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the documents that the network rejects."""
-    return score(docs, learn(docs, labels, rows)).where(F.col("score") >= threshold).select(*docs.columns)
+    """``docs``, all columns as they are, without the documents that the network rejects.
+
+    A document stays if its score reaches ``threshold``: nulls and empty texts by the score of no text, equal texts alike,
+    repeated rows each; an empty table gives no rows.
+    """
+    return score(docs, learn(docs, labels, rows), "score__quality").where(F.col("score__quality") >= threshold).select(*docs.columns)
 
 
 def frame_scores(net: Network, texts: pd.Series) -> pd.Series:

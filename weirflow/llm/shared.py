@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weirflow-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, threshold: int
         raise ValueError("the anchors cover 3 differing bits")
     base = Stage(fingerprints(docs, words_per_shingle), "simhash")
     distinct = base.df.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    rows = in_blocks(anchors(distinct.select("fp")), ["anchor"], "fp", "home", block).select("anchor", "hb", "cb", "fp")
+    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each becomes many rows
+    rows = in_blocks(anchors(spread), ["anchor"], "fp", "home", block).select("anchor", "hb", "cb", "fp")
     links = rows.repartition("anchor", "hb", "cb").sortWithinPartitions("anchor", "hb", "cb").mapInArrow(_links(threshold), "a long, b long")
     roots = connected_components(links)
     reps = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -148,9 +149,9 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     Of rows that share that doc_id, the one with the smallest text stays.  Rows without a doc_id can't be named as a
     group's document and stay as they are.
     """
-    kept = near_duplicates(docs, **settings).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    first = docs.join(kept, F.col("doc_id") == F.col("kept_id"))
-    unique = first.where("n = 1").select(*docs.columns)
+    kept = near_duplicates(docs, **settings).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept__id")).agg(F.count("*").alias("rows__id"))
+    first = docs.join(kept, F.col("doc_id") == F.col("kept__id"))
+    unique = first.where("rows__id = 1").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    many = first.where("n > 1").withColumn("nth__", F.row_number().over(order)).where("nth__ = 1").select(*docs.columns)
+    many = first.where("rows__id > 1").withColumn("nth__", F.row_number().over(order)).where("nth__ = 1").select(*docs.columns)
     return unique.unionByName(many).unionByName(docs.where("doc_id is null"))

@@ -339,5 +339,5 @@ def apply_runs(docs: DataFrame, spans: DataFrame, change: Callable, added: str)
             rows = [change(t, r) for t, r in zip(part.column(0).cast(pa.binary()).to_pylist(), _runs(part.column(1)))]
             yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*kept, *names])
 
-    joined = docs.withColumn("uid__", uid).join(spans.withColumnRenamed("uid", "uid__"), "uid__", "left")
-    return joined.select(F.col("text").cast("string").alias("text__spans"), F.col("spans").alias("runs__spans"), *kept).mapInArrow(run, ", ".join(x for x in (schema, added) if x))
+    joined = docs.withColumn("uid__", uid).join(spans.select(F.col("uid").alias("uid__"), F.col("spans").alias("runs__spans")), "uid__", "left")
+    return joined.select(F.col("text").cast("string").alias("text__spans"), "runs__spans", *kept).mapInArrow(run, ", ".join(x for x in (schema, added) if x))
