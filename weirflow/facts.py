@@ -28,6 +28,11 @@ class Facts:
     incomplete: DataFrame | None = None
     given: DataFrame | None = field(default=None)  # (fn, effect) of a report that already has the fixpoint
 
+    @functools.cached_property
+    def calls(self) -> DataFrame:
+        """The edges, each once, staged: every walk over these facts reads the same table."""
+        return Stage(self.edges.select("src", "dst").distinct(), "calls").df
+
     @functools.cached_property
     def masks(self) -> DataFrame:
         """(fn, mask): effects and reason classes of each unit and all it reaches, in one fixpoint.
@@ -37,7 +42,7 @@ class Facts:
         known = self.reasons.select("fn", scalars.reason_class(F.col("why")).alias("name"))
         bare = self.direct.where(F.col("effect") == UNKNOWN).join(self.reasons.select("fn").distinct(), "fn", "left_anti").select("fn", F.lit("unresolved").alias("name"))
         names = self.direct.select("fn", F.col("effect").alias("name")).unionByName(known).unionByName(bare)
-        return graph.propagate(self.edges, names.select("fn", bit(F.col("name")).alias("mask")))
+        return graph.propagate(self.calls, names.select("fn", bit(F.col("name")).alias("mask")), staged=True)
 
     @functools.cached_property
     def inferred(self) -> DataFrame:
@@ -54,14 +59,13 @@ class Facts:
     @functools.cached_property
     def reached_literals(self) -> DataFrame:
         """(fn, kind, value): literals of each unit and of all it reaches."""
-        callers = F.col("dst").alias("src"), F.col("src").alias("dst")
-        out = graph.closure(self.edges.select(*callers), self.literals.select("kind", "value", F.col("fn").alias("node")), ["kind", "value"])
+        out = graph.closure(self.callers, self.literals.select("kind", "value", F.col("fn").alias("node")), ["kind", "value"], staged=True)
         return Stage(out.select(F.col("node").alias("fn"), "kind", "value"), "literals").df
 
     @property
     def callers(self) -> DataFrame:
         """The edges turned round, for walks from callee to caller."""
-        return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return self.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
     @property
     def names(self) -> DataFrame:

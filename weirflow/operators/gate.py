@@ -14,6 +14,7 @@ from ..facts import Facts
 from ..functions import names, scalars
 from ..plans import graph
 from ..plans import policy as P
+from ..plans.staging import Stage
 from ..vocabulary import UNKNOWN
 from . import verbs
 
@@ -93,11 +94,15 @@ def allowed(f: Facts, p: P.Policy) -> DataFrame:
 
 def forbidden(f: Facts, p: P.Policy) -> DataFrame:
     """AS-EFF-009: units of one scope that reach another; detail is the least-named of the nearest units reached."""
+    if not p.forbids:
+        return _none(f)
+    named = Stage(f.names, "names").df
+    targets = {r.raw: named.where(_in(r.target, F.col("fn"))).select(F.lit(r.raw).alias("raw"), F.col("fn").alias("node")) for r in p.forbids}
+    near = verbs.nearest(f.callers, reduce(DataFrame.unionByName, targets.values()), "raw", staged=True).where("hops > 0")  # one walk for all rules
     frames = []
     for r in p.forbids:
-        goals = f.names.where(_in(r.target, F.col("fn"))).select(F.lit(r.raw).alias("raw"), F.col("fn").alias("node"))
-        near = verbs.nearest(f.callers.withColumn("raw", F.lit(r.raw)), goals, "raw")
-        hit = near.where("hops > 0").select("fn", "source")
+        goals = targets[r.raw]
+        hit = near.where(F.col("raw") == r.raw).select("fn", "source")
         both = goals.where(_in(r.source, F.col("node"))).select("node")  # in both scopes: they need a way back
         if not both.isEmpty():
             hit = hit.unionByName(_back_to_itself(f, goals.select("node"), both))
@@ -107,7 +112,7 @@ def forbidden(f: Facts, p: P.Policy) -> DataFrame:
 
 def _back_to_itself(f: Facts, goals: DataFrame, asked: DataFrame) -> DataFrame:
     """(fn, source): those of the goals ``asked`` that call a goal, directly or not; the least-named one called directly, if any."""
-    inside = graph.closure(f.callers, goals, seeded=False).select(F.col("node").alias("fn")).join(asked.withColumnRenamed("node", "fn"), "fn", "left_semi").distinct()
+    inside = graph.closure(f.callers, goals, seeded=False, staged=True).select(F.col("node").alias("fn")).join(asked.withColumnRenamed("node", "fn"), "fn", "left_semi").distinct()
     steps = f.edges.join(asked, F.col("src") == F.col("node"), "left_semi")
     first = steps.join(goals, F.col("dst") == F.col("node"), "left_semi").groupBy(F.col("src").alias("fn")).agg(F.min("dst").alias("source"))
     return inside.join(first, "fn", "left").select("fn", F.coalesce("source", "fn").alias("source"))
@@ -244,7 +249,7 @@ def whatif(f: Facts, query: str, effect: str, p: P.Policy | None = None) -> Data
     """fn, rule, conditional: who would have an effect if the best matches performed it, themselves included, and the first
     rule that would then be broken; a narrowed rule is conditional."""
     of = verbs.best_matches(f.names, query).select(F.col("fn").alias("node"))
-    affected = graph.closure(f.callers, of).select(F.col("node").alias("fn")).distinct()
+    affected = graph.closure(f.callers, of, staged=True).select(F.col("node").alias("fn")).distinct()
     rule, narrowed = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for r in sorted(p.denies if p else [], key=lambda r: -r.order):
         if effect in r.effects:

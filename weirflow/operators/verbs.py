@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def containment_changes(now: Facts, before: Facts) -> DataFrame:
 def callers(f: Facts, query: str) -> DataFrame:
     """fn, direct, hops: who calls the best matches of a name; a match itself only if it is on a cycle."""
     of = best_matches(f.names, query).select(F.col("fn").alias("node"))
-    out = graph.closure(f.callers, of, seeded=False)
+    out = graph.closure(f.callers, of, seeded=False, staged=True)
     return out.groupBy(F.col("node").alias("fn")).agg(F.min("hops").alias("hops")).select("fn", (F.col("hops") == 1).alias("direct"), "hops")
 
 
@@ -146,7 +148,7 @@ def impact(f: Facts, query: str) -> DataFrame:
     """fn, hops, entry_point: all that call one unit, directly or not; the unit itself is left out, cycle or not."""
     target = select_one(f.units, query)
     seeds = f.units.where(F.col("fn") == target).select(F.col("fn").alias("node")).distinct()
-    out = graph.closure(f.callers, seeds).where("hops > 0")
+    out = graph.closure(f.callers, seeds, staged=True).where("hops > 0")
     entries = f.units.groupBy("fn").agg(F.max("entry_point").alias("entry_point"))
     return out.withColumnRenamed("node", "fn").join(entries, "fn", "left").select("fn", "hops", F.coalesce("entry_point", F.lit(False)).alias("entry_point"))
 
@@ -158,7 +160,7 @@ def blindspots(f: Facts, classes: list[str] | None = None) -> DataFrame:
     """
     rows = f.reasons if not classes else f.reasons.where(scalars.reason_class(F.col("why")).isin(classes))
     sources = rows.groupBy("fn").agg(F.array_join(F.sort_array(F.collect_set("why")), ",").alias("why"))
-    pairs = graph.closure(f.callers, sources.select(F.col("fn").alias("source"), F.col("fn").alias("node")), ["source"]).where("hops > 0")
+    pairs = graph.closure(f.callers, sources.select(F.col("fn").alias("source"), F.col("fn").alias("node")), ["source"], staged=True).where("hops > 0")
     reach = pairs.groupBy(F.col("source").alias("fn")).agg(F.count("*").alias("reaches"))
     return sources.join(reach, "fn", "left").select("fn", "why", F.coalesce("reaches", F.lit(0)).alias("reaches")).orderBy(F.desc("reaches"), "fn")
 
@@ -200,25 +202,34 @@ def nearest_sources(f: Facts) -> DataFrame:
 
     All effects are walked at once, from the sources up.  Of equally near sources the one with the least name is given.
     """
-    carriers = f.inferred.select(F.col("effect").alias("e"), F.col("fn").alias("c"))
-    up = f.callers.join(carriers, F.col("dst") == F.col("c")).select(F.col("e").alias("effect"), "src", "dst")
-    near = nearest(up, f.direct.select("effect", F.col("fn").alias("node")), "effect")
+    through = f.inferred.select("effect", "fn") if f.given is not None else None  # a fixpoint of one's own holds for all that is walked
+    near = nearest(f.callers, f.direct.select("effect", F.col("fn").alias("node")), "effect", staged=True, through=through)
     return near.join(f.direct, ["effect", "fn"], "left_anti").select("fn", "effect", "hops", "source")
 
 
-def nearest(up: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """(key, fn, hops, source): for each node the least-named of the nearest sources, by levels."""
+def nearest(up: DataFrame, sources: DataFrame, key: str, staged: bool = False, through: DataFrame | None = None) -> DataFrame:
+    """(key, fn, hops, source): for each node the least-named of the nearest sources, by levels.
+
+    ``up`` is (src, dst), the same for all keys, or has the key as a column; ``staged`` edges are read as they are each round.
+    With ``through`` (key, fn) only its rows are reached.
+    """
     from ..plans.staging import Stage
 
-    steps = Stage(up.select(key, "src", "dst").distinct(), "up").df
+    own = [key] if key in up.columns else []
+    steps = up if staged else Stage(up.select(*own, "src", "dst").distinct(), "up").df
     delta = Stage(sources.select(key, F.col("node").alias("fn"), F.col("node").alias("source")).distinct(), "near").df
-    known = Stage(delta.withColumn("hops", F.lit(0)), "near").df
+    levels = [delta.withColumn("hops", F.lit(0))]
     for hop in range(1, graph.ROUNDS):
-        found = delta.join(steps, (delta["fn"] == steps["src"]) & (delta[key] == steps[key])).select(delta[key], F.col("dst").alias("fn"), "source").groupBy(key, "fn").agg(F.min("source").alias("source"))
+        found = delta.join(steps, [delta["fn"] == steps["src"], *(delta[k] == steps[k] for k in own)]).select(delta[key], F.col("dst").alias("fn"), "source").groupBy(key, "fn").agg(F.min("source").alias("source"))
+        if through is not None:
+            found = found.join(through, [key, "fn"], "left_semi")
+        known = functools.reduce(DataFrame.unionByName, levels)
         delta = Stage(found.join(known.select(key, "fn"), [key, "fn"], "left_anti"), "near").df
         if delta.isEmpty():
             return known.select(key, "fn", "hops", "source")
-        known = Stage(known.unionByName(delta.withColumn("hops", F.lit(hop))), "near").df
+        levels.append(delta.withColumn("hops", F.lit(hop)))
+        if len(levels) > 8:  # one table of the levels so far, so that a round joins few
+            levels = [Stage(functools.reduce(DataFrame.unionByName, levels), "near").df]
     raise RuntimeError("the walk did not settle")
 
 

@@ -14,19 +14,19 @@ from .staging import Stage
 ROUNDS = 10_000
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, staged: bool = False) -> DataFrame:
     """(fn, mask): the least sets such that a caller has all that its callees have.
 
     ``edges`` (src, dst) and ``seeds`` (fn, mask bigint); sets are bits, united by bit_or, which combines before the shuffle.
-    Units without a seed that reach nothing are not listed.
+    Units without a seed that reach nothing are not listed.  ``staged`` edges are read as they are each round.
     """
-    calls = Stage(edges.select("src", "dst").distinct(), "calls")
+    calls = edges if staged else Stage(edges.select("src", "dst").distinct(), "calls").df
     state = Stage(seeds.groupBy("fn").agg(F.bit_or("mask").alias("mask")).where("mask <> 0").withColumn("fresh", F.col("mask")), "masks")
     for _ in range(ROUNDS):
         fresh = state.df.where("fresh <> 0")
         if fresh.isEmpty():
             return state.df.select("fn", "mask")
-        found = fresh.join(calls.df, fresh["fn"] == calls.df["dst"]).groupBy(F.col("src").alias("fn")).agg(F.bit_or("fresh").alias("add"))
+        found = fresh.join(calls, fresh["fn"] == calls["dst"]).groupBy(F.col("src").alias("fn")).agg(F.bit_or("fresh").alias("add"))
         both = state.df.select("fn", "mask", F.lit(0).cast("long").alias("add")).unionByName(found.select("fn", F.lit(0).cast("long").alias("mask"), "add"))
         united = both.groupBy("fn").agg(F.bit_or("mask").alias("mask"), F.bit_or("add").alias("add"))
         after = Stage(united.select("fn", F.col("mask").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("mask")).alias("fresh")), "masks")
@@ -35,21 +35,21 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise RuntimeError("the fixpoint did not settle")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, key: list[str] = [], seeded: bool = True) -> DataFrame:  # noqa: B006
+def closure(edges: DataFrame, seeds: DataFrame, key: list[str] = [], seeded: bool = True, staged: bool = False) -> DataFrame:  # noqa: B006
     """(*key, node, hops): what each key's seeds reach along ``edges`` (src, dst, and key columns of its own if any).
 
     ``seeds`` has (*key, node).  With ``seeded`` the seeds are in the answer at 0 hops; without, a seed is in it only if a
-    path leads back to it.  hops is the length of the shortest path.
+    path leads back to it.  hops is the length of the shortest path.  ``staged`` edges are read as they are each round.
     """
     ids = [*key, "node"]
     own = [k for k in key if k in edges.columns]
-    steps = Stage(edges.select(*own, "src", "dst").distinct(), "steps")
+    steps = edges if staged else Stage(edges.select(*own, "src", "dst").distinct(), "steps").df
     first = seeds.select(*ids).distinct().withColumn("hops", F.lit(0))
     delta = Stage(first, "delta")
     reached = [delta] if seeded else []
     for hop in range(1, ROUNDS):
-        on = [delta.df["node"] == steps.df["src"], *(delta.df[k] == steps.df[k] for k in own)]
-        near = delta.df.join(steps.df, on).select(*(delta.df[k] for k in key), F.col("dst").alias("node")).distinct()
+        on = [delta.df["node"] == steps["src"], *(delta.df[k] == steps[k] for k in own)]
+        near = delta.df.join(steps, on).select(*(delta.df[k] for k in key), F.col("dst").alias("node")).distinct()
         for old in reached:
             near = near.join(old.df.select(*ids), ids, "left_anti")
         after = Stage(near.withColumn("hops", F.lit(hop)), "delta")

@@ -27,6 +27,8 @@ def _written(spark: SparkSession, sf_dir: str) -> tuple:
 def _with(f: Facts, **changes) -> Facts:
     """The facts with some tables replaced; the fixpoint stays where what it is made from does."""
     out = replace(f, **changes)
+    if "edges" not in changes:
+        out.calls = f.calls
     if not {"edges", "direct", "reasons"} & set(changes):
         out.__dict__["masks"] = f.masks
     return out

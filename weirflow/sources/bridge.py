@@ -58,7 +58,9 @@ def facts(spark: SparkSession, sf_dir: str, baseline: bool = False) -> Facts:
         units = units.union(frame.select(name.alias("fn"), F.lit(False)))
     known = units.select("fn")
     direct = direct.distinct().join(known, "fn", "left_semi")
-    return Facts(units, Stage(edges.distinct(), "edges").df, direct, reasons.distinct(), literals.distinct())
+    out = Facts(units, Stage(edges.distinct(), "edges").df, direct, reasons.distinct(), literals.distinct())
+    out.calls = out.edges
+    return out
 
 
 #: The same facts as CTEs for DuckDB; {orders} and {lineitem} are the order tables.
