@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, threshold: int
         raise ValueError("the anchors cover 3 differing bits")
     base = Stage(fingerprints(docs, words_per_shingle), "simhash")
     distinct = base.df.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each becomes many rows
+    spread = distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # each becomes many rows; by fp itself the shuffle would be merged with the one before and coalesced
     rows = in_blocks(anchors(spread), ["anchor"], "fp", "home", block).select("anchor", "hb", "cb", "fp")
     links = rows.repartition("anchor", "hb", "cb").sortWithinPartitions("anchor", "hb", "cb").mapInArrow(_links(threshold), "a long, b long")
     roots = connected_components(links)
