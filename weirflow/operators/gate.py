@@ -166,6 +166,20 @@ def violations(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFra
     return denied(f, p, partners).unionByName(allowed(f, p)).unionByName(forbidden(f, p)).unionByName(permitted_only(f, p))
 
 
+def judged(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFrame:
+    """raw, violations, unevaluated, verdict of every rule of a policy: how many rows break it and how many units it could not judge.
+
+    A violation outweighs what could not be judged, which outweighs a pass.  A policy without rules has no rows.
+    """
+    raws = sorted({r.raw for r in (*p.denies, *p.allows, *p.forbids, *p.onlys)})
+    rules = f.units.sparkSession.createDataFrame([(r,) for r in raws], "raw string")
+    broken = violations(f, p, partners).groupBy("raw").agg(F.count("*").alias("v"))
+    blind = withheld(f, p, partners).select("raw", "fn").distinct().groupBy("raw").agg(F.count("*").alias("w"))
+    rows = rules.join(broken, "raw", "left").join(blind, "raw", "left")
+    verdict = F.when(F.col("v") > 0, "violations").when(F.col("w") > 0, "unevaluated").otherwise("clear")
+    return rows.select("raw", F.coalesce("v", F.lit(0)).alias("violations"), F.coalesce("w", F.lit(0)).alias("unevaluated"), verdict.alias("verdict"))
+
+
 def scope_binding(f: Facts, p: P.Policy) -> DataFrame:
     """raw, scope, names: how many names each rule's scopes bind; zero means that the rule can't bite."""
     scopes = [(r.raw, r.scope, False) for r in (*p.denies, *p.allows) if r.scope]

@@ -216,3 +216,15 @@ SQL: dict[str, str] = {
         ), placed AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY fn, raw)::INT AS place FROM rows_)
         SELECT rule, place, fn, raw, effects FROM placed WHERE place <= 20""",
 }
+
+_RULES = [
+    "deny Net app::nation", "deny Db Fs order", "pure region", "deny Unknown[dispatch,native] app::customer", "deny Exec nowhere",
+    "allow Net in supplier blog.therst.example.net m.tionsh.example.net", "allow Fs in app::part /data/economy /data/promo",
+    "forbid customer -> supplier", "forbid app::part -> app::order", "only app::order -> app::part",
+]
+_BROKEN = " UNION ALL ".join(f"SELECT raw, fn FROM ({SQL[q]})" for q in ("gate_deny", "gate_allow", "gate_forbid", "gate_only"))
+_BLIND = f"{_NOW}{_CLASSES} SELECT DISTINCT fn FROM inferred WHERE effect = 'Unknown' AND fn LIKE 'app::customer%' AND fn NOT IN (SELECT fn FROM classes)"
+SQL["gate_judged"] = f"""SELECT raw, violations, unevaluated, CASE WHEN violations > 0 THEN 'violations' WHEN unevaluated > 0 THEN 'unevaluated' ELSE 'clear' END AS verdict FROM (
+    SELECT r.raw, (SELECT count(*) FROM ({_BROKEN}) b WHERE b.raw = r.raw) AS violations,
+      CASE WHEN r.raw LIKE 'deny Unknown%' THEN (SELECT count(*) FROM ({_BLIND})) ELSE 0 END AS unevaluated
+    FROM (VALUES {", ".join(f"('{r}')" for r in _RULES)}) r(raw))"""

@@ -264,6 +264,12 @@ def gate_only(spark, sf):
     return gate.permitted_only(facts(spark, sf), P.parse(POLICY)).select("raw", "fn")
 
 
+@query
+def gate_judged(spark, sf):
+    """I16: the whole policy, a row a rule."""
+    return gate.judged(facts(spark, sf), P.parse(POLICY))
+
+
 @query
 def gate_scope_binding(spark, sf):
     return gate.scope_binding(facts(spark, sf), P.parse(POLICY))
