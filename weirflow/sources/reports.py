@@ -250,12 +250,14 @@ def write_report(rows: DataFrame, path: str, package: str, version: str) -> None
 
 
 def tree_hash(spark: SparkSession, root: str, suffix: str = "") -> str:
-    """FNV-1a of a folder's files in order of their paths: path, zero byte, content, zero byte."""
+    """FNV-1a of a folder's files in order of their paths: path, zero byte, content, zero byte.
+
+    The digest depends on the order of all bytes, so the driver folds them, a partition of files at a time.
+    """
     h = 0xCBF29CE484222325
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    names = sorted((os.path.relpath(r["path"].removeprefix("file:"), root), r["path"]) for r in rows.select("path").collect() if r["path"].endswith(suffix))
-    content = {r["path"]: bytes(r["content"]) for r in rows.where(F.col("path").endswith(suffix)).select("path", "content").toLocalIterator()}
-    for name, path in names:
-        for b in name.encode() + b"\0" + content[path] + b"\0":
-            h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+    for r in rows.where(F.col("path").endswith(suffix)).select("path", "content").orderBy("path").toLocalIterator():
+        for part in (os.path.relpath(r["path"].removeprefix("file:"), root).encode(), b"\0", r["content"], b"\0"):
+            for b in part:
+                h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
     return f"{h:016x}"
