@@ -27,6 +27,7 @@ class Facts:
     #: Units whose literals for an effect are known to be incomplete: (fn, effect).
     incomplete: DataFrame | None = None
     given: DataFrame | None = field(default=None)  # (fn, effect) of a report that already has the fixpoint
+    order: DataFrame | None = None  # (src, dst, ord): the place of each call in its caller
 
     @functools.cached_property
     def calls(self) -> DataFrame:
@@ -62,6 +63,14 @@ class Facts:
         out = graph.closure(self.callers, self.literals.select("kind", "value", F.col("fn").alias("node")), ["kind", "value"], staged=True)
         return Stage(out.select(F.col("node").alias("fn"), "kind", "value"), "literals").df
 
+    @functools.cached_property
+    def reached_incomplete(self) -> DataFrame | None:
+        """(fn, effect): whose literals are incomplete, its own or those of what it reaches; a report's are propagated already."""
+        if self.incomplete is None or self.given is not None:
+            return self.incomplete
+        masks = graph.propagate(self.calls, self.incomplete.select("fn", bit(F.col("effect")).alias("mask")), staged=True)
+        return masks.select("fn", F.explode(members(F.col("mask"), ALL_EFFECTS)).alias("effect"))
+
     @property
     def callers(self) -> DataFrame:
         """The edges turned round, for walks from callee to caller."""

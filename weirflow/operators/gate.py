@@ -38,27 +38,28 @@ def effect_hits(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFr
 
     state is hit, or withheld where a narrowed rule has no evidence of the unit's classes: neither a pass nor a violation.
     """
-    units = f.inferred.join(f.units.select("fn").distinct(), "fn", "left_semi")
-    classes = f.reason_classes.groupBy("fn").agg(F.collect_set("class").alias("why"))
-    net = None
-    frames = []
-    for r in p.denies:
-        rows = units.where(F.col("effect").isin(r.effects) & _in(r.scope, F.col("fn")))
-        state: Column = F.lit("hit")
-        if r.unknown_classes:
-            rows = rows.join(classes, "fn", "left")
-            bare = F.col("why").isNull() | (F.size("why") == 0)
-            met = F.arrays_overlap("why", F.array(*map(F.lit, r.unknown_classes)))
-            state = F.when((F.col("effect") == UNKNOWN) & bare, "withheld").when((F.col("effect") == UNKNOWN) & ~met, None).otherwise(state)
-        if r.net_classes:
-            if net is None:
-                table = partners if partners is not None else F.create_map().cast("map<string,string>")
-                net = verbs.net_classes(f, table).groupBy("fn").agg(F.collect_set("class").alias("to"))
-            rows = rows.join(net, "fn", "left")
-            met = F.arrays_overlap("to", F.array(*map(F.lit, r.net_classes)))
-            state = F.when((F.col("effect") == "Net") & F.col("to").isNull(), "withheld").when((F.col("effect") == "Net") & ~met, None).otherwise(state)
-        frames.append(rows.select(F.lit(r.raw).alias("raw"), F.lit(r.order).alias("order"), "fn", "effect", state.alias("state")).where("state is not null"))
-    return _union(frames, _none(f, "raw string, order int, fn string, effect string, state string"))
+    rows = f.inferred.join(f.units.select("fn").distinct(), "fn", "left_semi").where(F.col("effect").isin(sorted({e for r in p.denies for e in r.effects})))
+    if any(r.unknown_classes for r in p.denies):
+        rows = rows.join(f.reason_classes.groupBy("fn").agg(F.collect_set("class").alias("why")), "fn", "left")
+    if any(r.net_classes for r in p.denies):
+        table = partners if partners is not None else F.create_map().cast("map<string,string>")
+        rows = rows.join(verbs.net_classes(f, table).groupBy("fn").agg(F.collect_set("class").alias("to")), "fn", "left")
+    cases = [F.when(F.col("effect").isin(r.effects) & _in(r.scope, F.col("fn")), F.struct(F.lit(r.raw).alias("raw"), F.lit(r.order).alias("order"), _state(r).alias("state"))) for r in p.denies]
+    if not cases:
+        return _none(f, "raw string, order int, fn string, effect string, state string")
+    said = rows.select("fn", "effect", F.explode(F.array_compact(F.array(*cases))).alias("r"))  # all rules in one pass
+    return said.select("r.raw", "r.order", "fn", "effect", "r.state").where("state is not null")
+
+
+def _state(r: P.Deny) -> Column:
+    """hit, withheld, or null where a narrowed rule means other classes; of columns effect, why and to."""
+    state: Column = F.lit("hit")
+    for effect, wanted, seen in ((UNKNOWN, r.unknown_classes, "why"), ("Net", r.net_classes, "to")):
+        if wanted:
+            bare = F.col(seen).isNull() | (F.size(seen) == 0)
+            met = F.arrays_overlap(seen, F.array(*map(F.lit, wanted)))
+            state = F.when((F.col("effect") == effect) & bare, "withheld").when((F.col("effect") == effect) & ~met, None).otherwise(state)
+    return state
 
 
 def denied(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def allowed(f: Facts, p: P.Policy) -> DataFrame:
         lits = who.join(f.reached_literals.where(F.col("kind") == _KIND[r.effect]), "fn")
         blind = who.join(lits, "fn", "left_anti")
         if f.incomplete is not None:
-            gap = f.incomplete.where(F.col("effect") == ("Net" if r.effect == "Llm" else r.effect)).select("fn")
+            gap = f.reached_incomplete.where(F.col("effect") == ("Net" if r.effect == "Llm" else r.effect)).select("fn")
             blind = blind.union(who.join(gap, "fn", "left_semi")).distinct()
         fine = scalars.literal_allowed(F.lit(r.effect), F.col("value"), F.array(*map(F.lit, r.values)))
         bad = lits.join(blind, "fn", "left_anti").where(~fine).groupBy("fn").agg(F.array_join(F.sort_array(F.collect_set("value")), ",").alias("detail"))
@@ -185,11 +186,11 @@ def scope_binding(f: Facts, p: P.Policy) -> DataFrame:
     scopes = [(r.raw, r.scope, False) for r in (*p.denies, *p.allows) if r.scope]
     scopes += [(r.raw, s, False) for r in p.forbids for s in (r.source, r.target)]
     scopes += [(r.raw, r.source, False) for r in p.onlys] + [(r.raw, t, True) for r in p.onlys for t in r.targets]
-    out = []
-    for raw, scope, exact in scopes:
-        n = f.names.where(names.scope_matches(F.col("fn"), scope, permitted=exact)).agg(F.count("*").alias("names"))
-        out.append(n.select(F.lit(raw).alias("raw"), F.lit(scope).alias("scope"), "names"))
-    return _union(out, _none(f, "raw string, scope string, names long"))
+    if not scopes:
+        return _none(f, "raw string, scope string, names long")
+    counts = f.names.agg(*[F.count_if(names.scope_matches(F.col("fn"), scope, permitted=exact)).alias(f"n{i}") for i, (_, scope, exact) in enumerate(scopes)])  # all scopes in one pass
+    rows = F.array(*[F.struct(F.lit(raw).alias("raw"), F.lit(scope).alias("scope"), F.col(f"n{i}").alias("names")) for i, (raw, scope, _) in enumerate(scopes)])
+    return counts.select(F.inline(rows))
 
 
 def zero_match(f: Facts, p: P.Policy) -> DataFrame:
@@ -210,8 +211,10 @@ def unverified(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFra
     """fn, rule, upgrade: units with Unknown in the scope of a rule that does not fire on them; the first such rule."""
     hits = effect_hits(f, p, partners).where("state = 'hit'").select("raw", "fn").distinct()
     blind = f.inferred.where(F.col("effect") == UNKNOWN).join(f.units.select("fn").distinct(), "fn", "left_semi").select("fn")
-    frames = [blind.where(_in(r.scope, F.col("fn"))).select("fn", F.lit(r.raw).alias("raw"), F.lit(r.order).alias("order"), F.lit(P.upgrade(r)).alias("upgrade")) for r in p.denies]
-    rows = _union(frames, _none(f, "fn string, raw string, order int, upgrade string")).join(hits, ["raw", "fn"], "left_anti")
+    if not p.denies:
+        return _none(f, "fn string, rule string, upgrade string")
+    cases = [F.when(_in(r.scope, F.col("fn")), F.struct(F.lit(r.raw).alias("raw"), F.lit(r.order).alias("order"), F.lit(P.upgrade(r)).alias("upgrade"))) for r in p.denies]
+    rows = blind.select("fn", F.explode(F.array_compact(F.array(*cases))).alias("r")).select("fn", "r.*").join(hits, ["raw", "fn"], "left_anti")
     first = rows.groupBy("fn").agg(F.min(F.struct("order", "raw", "upgrade")).alias("r"))
     return first.select("fn", F.col("r.raw").alias("rule"), F.col("r.upgrade").alias("upgrade"))
 

@@ -175,12 +175,14 @@ def blindspot_stats(f: Facts) -> DataFrame:
 def path(f: Facts, query: str, effect: str) -> DataFrame:
     """step, fn, source: the shortest chain from one unit to one that performs an effect itself, over units that have it.
 
-    Of equally short chains the one whose names come first is taken.  No chain: no rows.
+    Of equally short chains the first in the order of calls is taken, or where the facts have no order, the one whose names
+    come first.  No chain: no rows.
     """
     start = select_one(f.units, query)
     effect = known_effect(f, effect)
     carriers = f.inferred.where(F.col("effect") == effect).select(F.col("fn").alias("dst"))
-    steps = f.edges.join(carriers, "dst").select(F.lit(effect).alias("key"), "src", "dst")
+    calls = f.edges if f.order is None else f.order
+    steps = calls.join(carriers, "dst").withColumn("key", F.lit(effect))
     starts = f.units.where(F.col("fn") == start).select(F.lit(effect).alias("key"), F.col("fn").alias("node")).distinct()
     goals = f.direct.where(F.col("effect") == effect).select(F.lit(effect).alias("key"), F.col("fn").alias("node"))
     out = graph.witness(steps, starts, goals)
@@ -191,10 +193,10 @@ def explain(f: Facts, query: str) -> DataFrame:
     """effect, path: for each effect of one unit the shortest chain to a unit that performs it, over all callees."""
     start = select_one(f.units, query)
     keys = f.inferred.where(F.col("fn") == start).select(F.col("effect").alias("key"))
-    steps = f.edges.join(F.broadcast(keys))  # one row an effect of the vocabulary
+    steps = (f.edges if f.order is None else f.order).join(F.broadcast(keys))  # one row an effect of the vocabulary
     starts = keys.select("key", F.lit(start).alias("node"))
     goals = f.direct.select(F.col("effect").alias("key"), F.col("fn").alias("node"))
-    return graph.witness(steps.select("key", "src", "dst"), starts, goals).select(F.col("key").alias("effect"), F.array_join("path", " > ").alias("path"))
+    return graph.witness(steps, starts, goals).select(F.col("key").alias("effect"), F.array_join("path", " > ").alias("path"))
 
 
 def nearest_sources(f: Facts) -> DataFrame:
@@ -269,5 +271,5 @@ def net_classes(f: Facts, table: Column) -> DataFrame:
     seen = net.join(hosts, "fn")
     open_ = net.join(hosts, "fn", "left_anti")
     if f.incomplete is not None:
-        open_ = open_.union(net.join(f.incomplete.where("effect = 'Net'"), "fn", "left_semi"))
+        open_ = open_.union(net.join(f.reached_incomplete.where("effect = 'Net'"), "fn", "left_semi"))
     return seen.unionByName(open_.withColumn("class", F.lit("unknown-host"))).distinct()

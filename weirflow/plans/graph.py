@@ -6,6 +6,8 @@ and a lost executor costs one round's tasks at most.  A cap on rounds raises; no
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, staged: bool = False) -> DataF
     Units without a seed that reach nothing are not listed.  ``staged`` edges are read as they are each round.
     """
     calls = edges if staged else Stage(edges.select("src", "dst").distinct(), "calls").df
-    state = Stage(seeds.groupBy("fn").agg(F.bit_or("mask").alias("mask")).where("mask <> 0").withColumn("fresh", F.col("mask")), "masks")
+    fresh = Stage(seeds.groupBy("fn").agg(F.bit_or("mask").alias("mask")).where("mask <> 0"), "masks")
+    levels = [fresh]
     for _ in range(ROUNDS):
-        fresh = state.df.where("fresh <> 0")
-        if fresh.isEmpty():
-            return state.df.select("fn", "mask")
-        found = fresh.join(calls, fresh["fn"] == calls["dst"]).groupBy(F.col("src").alias("fn")).agg(F.bit_or("fresh").alias("add"))
-        both = state.df.select("fn", "mask", F.lit(0).cast("long").alias("add")).unionByName(found.select("fn", F.lit(0).cast("long").alias("mask"), "add"))
-        united = both.groupBy("fn").agg(F.bit_or("mask").alias("mask"), F.bit_or("add").alias("add"))
-        after = Stage(united.select("fn", F.col("mask").bitwiseOR(F.col("add")).alias("mask"), F.col("add").bitwiseAND(F.bitwise_not("mask")).alias("fresh")), "masks")
-        state.drop()
-        state = after
-    raise RuntimeError("the fixpoint did not settle")
+        found = fresh.df.join(calls, F.col("fn") == F.col("dst")).groupBy(F.col("src").alias("fn")).agg(F.bit_or("mask").alias("add"))
+        known = functools.reduce(DataFrame.unionByName, [level.df for level in levels])
+        # what is known is read beside what was found, not rewritten; few finds are broadcast by their measured size
+        both = found.join(known, "fn", "left").groupBy("fn").agg(F.bit_or("add").alias("add"), F.coalesce(F.bit_or("mask"), F.lit(0)).alias("mask"))
+        fresh = Stage(both.select("fn", F.col("add").bitwiseAND(F.bitwise_not("mask")).alias("mask")).where("mask <> 0"), "masks")
+        if fresh.df.isEmpty():
+            break
+        levels.append(fresh)
+        if len(levels) > 8:  # one table of the levels so far, the last aside, so that a round joins few
+            levels = [_united(levels[:-1]), fresh]
+    else:
+        raise RuntimeError("the fixpoint did not settle")
+    fresh.drop()
+    return (levels[0] if len(levels) == 1 else _united(levels)).df
+
+
+def _united(levels: list[Stage]) -> Stage:
+    """One table of several of (fn, mask), which are dropped."""
+    whole = functools.reduce(DataFrame.unionByName, [level.df for level in levels])
+    out = Stage(whole.groupBy("fn").agg(F.bit_or("mask").alias("mask")), "masks")
+    for level in levels:
+        level.drop()
+    return out
 
 
 def closure(edges: DataFrame, seeds: DataFrame, key: list[str] = [], seeded: bool = True, staged: bool = False) -> DataFrame:  # noqa: B006
@@ -75,23 +91,27 @@ def closure(edges: DataFrame, seeds: DataFrame, key: list[str] = [], seeded: boo
 
 
 def witness(edges: DataFrame, starts: DataFrame, goals: DataFrame, stop: bool = True) -> DataFrame:
-    """(key, path array): of the shortest paths from each key's start to a goal, the one whose names come first.
+    """(key, path array): of the shortest paths from each key's start to a goal, the first one.
 
     ``starts`` has (key, node), ``goals`` (key, node); ``edges`` (key, src, dst).  A start that is a goal is its own path.
-    One path is kept for each node and key, the least by names, which is the path a breadth-first walk in name order finds.
+    Paths stand in the order of the places of their steps if edges have one (ord), which a breadth-first walk that takes
+    callees in that order follows; else in the order of their names.  One path is kept for each node and key.
     """
-    steps = Stage(edges.select("key", "src", "dst").distinct(), "steps").df
+    ranked = "ord" in edges.columns
+    place = F.col("ord").cast("long") if ranked else F.col("dst")
+    steps = Stage(edges.select("key", "src", "dst", place.alias("ord")).groupBy("key", "src", "dst").agg(F.min("ord").alias("ord")), "steps").df
     ends = Stage(goals.select("key", "node").distinct(), "goals").df
-    delta = Stage(starts.select("key", "node", F.array("node").alias("path")), "delta").df
+    origin = F.array().cast("array<bigint>" if ranked else "array<string>")
+    delta = Stage(starts.select("key", "node", origin.alias("rank"), F.array("node").alias("path")), "delta").df
     seen = delta.select("key", "node")
     found = []
     for _ in range(ROUNDS):
-        hit = Stage(delta.join(ends, ["key", "node"]).groupBy("key").agg(F.min("path").alias("path")), "found").df
+        hit = Stage(delta.join(ends, ["key", "node"]).groupBy("key").agg(F.min(F.struct("rank", "path")).alias("best")).select("key", "best.path"), "found").df
         found.append(hit)
-        open_keys = delta.join(hit, "key", "left_anti") if stop else delta
-        near = open_keys.join(steps, (open_keys["node"] == steps["src"]) & (open_keys["key"] == steps["key"])).select(open_keys["key"], F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        near = near.join(seen, ["key", "node"], "left_anti").groupBy("key", "node").agg(F.min("path").alias("path"))
-        delta = Stage(near, "delta").df
+        open_keys = delta.join(hit.select("key"), "key", "left_anti") if stop else delta
+        near = open_keys.join(steps, (open_keys["node"] == steps["src"]) & (open_keys["key"] == steps["key"])).select(open_keys["key"], F.col("dst").alias("node"), F.array_append("rank", F.col("ord")).alias("rank"), F.array_append("path", F.col("dst")).alias("path"))
+        near = near.join(seen, ["key", "node"], "left_anti").groupBy("key", "node").agg(F.min(F.struct("rank", "path")).alias("best"))
+        delta = Stage(near.select("key", "node", "best.rank", "best.path"), "delta").df
         if delta.isEmpty():
             break
         seen = Stage(seen.unionByName(delta.select("key", "node")), "seen").df
