@@ -93,12 +93,19 @@ def allowed(f: Facts, p: P.Policy) -> DataFrame:
     return _union(frames, _none(f))
 
 
-def forbidden(f: Facts, p: P.Policy) -> DataFrame:
-    """AS-EFF-009: units of one scope that reach another; detail is the least-named of the nearest units reached."""
+def forbidden(f: Facts, p: P.Policy, beyond: DataFrame | None = None) -> DataFrame:
+    """AS-EFF-009: units of one scope that reach another; detail is the least-named of the nearest units reached.
+
+    ``beyond`` (fn, scope) are names in other packages and the scopes that they reach there, by those packages' own scans.
+    """
     if not p.forbids:
         return _none(f)
     named = Stage(f.names, "names").df
     targets = {r.raw: named.where(_in(r.target, F.col("fn"))).select(F.lit(r.raw).alias("raw"), F.col("fn").alias("node")) for r in p.forbids}
+    if beyond is not None:
+        for r in p.forbids:
+            there = beyond.where(F.col("scope") == r.target).select(F.lit(r.raw).alias("raw"), F.col("fn").alias("node"))
+            targets[r.raw] = targets[r.raw].unionByName(there).distinct()
     near = verbs.nearest(f.callers, reduce(DataFrame.unionByName, targets.values()), "raw", staged=True).where("hops > 0")  # one walk for all rules
     frames = []
     for r in p.forbids:
@@ -253,6 +260,35 @@ def proposals(found: DataFrame, because: str) -> DataFrame:
     return plain.select(F.concat(F.lit("accept "), "fn", F.lit(" "), F.translate("effects", ",", " "), F.lit(" for "), scalars.rule_key(F.col("raw")), F.lit(f" because {because}")).alias("line"))
 
 
+def accept_plan(found: DataFrame, p: P.Policy, f: Facts, because: str) -> DataFrame:
+    """kind, fn, raw, effects, line: how a policy's accept entries would have to change for the violations to be settled.
+
+    removed: nothing is left for the entry to settle; narrowed: the entry lists effects that the unit no longer has, and
+    ``line`` is what would do; proposed: the unit has more than the entry lists, and ``line`` would cover it; created: no
+    entry yet; unnamed: the name has two units, so no entry can mean one; by_hand: Unknown needs classes from a person.
+    """
+    spark = f.units.sparkSession
+    stands, entries = settle(found, p, f)
+    key = ["fn", "raw"]
+    listed = spark.createDataFrame([(a.fn, a.rule, a.effects, a.because) for a in p.accepts], "fn string, raw string, accepted array<string>, because string").join(entries.select(*key, "status"), key)
+    now = found.select("fn", scalars.rule_key(F.col("raw")).alias("raw"), F.split("effects", ",").alias("has"))
+    twins = f.units.groupBy("fn").count().where("count > 1").select("fn", F.lit(True).alias("twin"))
+
+    def line(effects: Column, reason: Column) -> Column:
+        return F.concat(F.lit("accept "), "fn", F.lit(" "), F.array_join(effects, " "), F.lit(" for "), "raw", F.lit(" because "), reason)
+
+    both = listed.join(now, key)
+    gone, more = F.sort_array(F.array_except("accepted", "has")), F.sort_array(F.array_except("has", "accepted"))
+    joined = F.sort_array(F.array_union("has", "accepted"))
+    removed = listed.where("status = 'stale'").select(F.lit("removed").alias("kind"), *key, F.array_join("accepted", ",").alias("effects"), F.lit("").alias("line"))
+    narrowed = both.where((F.col("status") == "accepted") & (F.size(gone) > 0)).select(F.lit("narrowed").alias("kind"), *key, F.array_join(gone, ",").alias("effects"), line(F.sort_array(F.array_intersect("accepted", "has")), F.col("because")).alias("line"))
+    wider = both.where((F.col("status") == "exceeded") & (F.size(more) > 0)).select(F.when(F.array_contains("has", UNKNOWN), "by_hand").otherwise("proposed").alias("kind"), *key, F.array_join(more, ",").alias("effects"), F.when(~F.array_contains("has", UNKNOWN), line(joined, F.col("because"))).otherwise("").alias("line"))
+    open_ = stands.select("fn", scalars.rule_key(F.col("raw")).alias("raw"), "effects").distinct().join(F.broadcast(listed.select(*key)), key, "left_anti").join(twins, "fn", "left")
+    fresh = open_.withColumn("has", F.split("effects", ",")).where("effects <> ''").withColumn("kind", F.when(F.col("twin"), "unnamed").when(F.array_contains("has", UNKNOWN), "by_hand").otherwise("created"))
+    created = fresh.select("kind", *key, "effects", F.when(F.col("kind") == "created", line(F.sort_array("has"), F.lit(because))).otherwise("").alias("line"))
+    return removed.unionByName(narrowed).unionByName(wider).unionByName(created)
+
+
 def denied_layer(p: P.Policy, effect: str, fn: Column) -> Column:
     """The scope of the first deny or pure rule that forbids an effect to a name; null if none does."""
     out: Column = F.lit(None).cast("string")
@@ -318,7 +354,7 @@ def fix_gate(f: Facts, p: P.Policy) -> DataFrame:
     crossing = hits.withColumn("layer", layer)
     carriers = f.inferred.select(F.col("effect").alias("e"), F.col("fn").alias("c"))
     up = f.callers.join(carriers, F.col("dst") == F.col("c")).select(F.col("e").alias("effect"), "src", "dst")
-    seeds = f.direct.select("effect", F.col("fn").alias("site"), F.col("fn").alias("node"))
+    seeds = f.direct.where(F.col("effect").isin(sorted({e for r in p.denies for e in r.effects}))).select("effect", F.col("fn").alias("site"), F.col("fn").alias("node"))
     reach = graph.closure(up, seeds, ["effect", "site"]).select("effect", "site", F.col("node").alias("fn"))
     per = crossing.join(reach, ["effect", "fn"]).groupBy("effect", "layer", "fn").agg(F.array_join(F.sort_array(F.collect_set("site")), ",").alias("sites"))
     return per.groupBy("effect", "layer", "sites").agg(F.min("fn").alias("fn"))

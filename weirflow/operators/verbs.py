@@ -48,6 +48,26 @@ def show(f: Facts, query: str) -> DataFrame:
     return units.join(f.inferred, "fn", "left").join(own, ["fn", "effect"], "left").select("fn", "effect", F.when(F.col("effect").isNotNull(), F.when(F.col("own"), "direct").otherwise("inherited")).alias("how"))
 
 
+def show_unit(f: Facts, query: str) -> DataFrame:
+    """fn, inferred, direct, fs, hosts, tables (sorted, joined by commas), unresolved, loc of the units that match best.
+
+    Literals are those of the unit and of all that it reaches; where none is visible the list is empty.
+    """
+    units = best_matches(f.units, query)
+
+    def listed(rows: DataFrame, column: str, name: str) -> DataFrame:
+        return rows.groupBy("fn").agg(F.array_join(F.sort_array(F.collect_set(column)), ",").alias(name))
+
+    out = units.groupBy("fn").agg(F.max("unresolved").alias("flag") if "unresolved" in units.columns else F.lit(False).alias("flag"), F.min("loc").alias("loc") if "loc" in units.columns else F.lit("").alias("loc"))
+    shown = out.select("fn")
+    out = out.join(listed(f.inferred.join(shown, "fn", "left_semi"), "effect", "inferred"), "fn", "left").join(listed(f.direct.join(shown, "fn", "left_semi"), "effect", "direct"), "fn", "left")
+    for kind in ("fs", "hosts", "tables"):
+        out = out.join(listed(f.reached_literals.where(F.col("kind") == kind).join(shown, "fn", "left_semi"), "value", kind), "fn", "left")
+    lists = [F.coalesce(c, F.lit("")).alias(c) for c in ("inferred", "direct", "fs", "hosts", "tables")]
+    unresolved = F.col("flag") | F.array_contains(F.split(F.coalesce("inferred", F.lit("")), ","), UNKNOWN)
+    return out.select("fn", *lists, unresolved.alias("unresolved"), "loc")
+
+
 def where(f: Facts, effect: str | None = None) -> DataFrame:
     """effect, how, fn: who performs an effect itself and who through callees (not both)."""
     rows = f.inferred if effect is None else f.inferred.where(F.col("effect") == known_effect(f, effect))
@@ -144,6 +164,20 @@ def subtype_pairs(supers: DataFrame) -> DataFrame:
     return out.select(F.col("of").alias("type"), F.col("node").alias("owner")).distinct()
 
 
+def subtype_answers(pairs: DataFrame, supers: DataFrame, indexed: DataFrame) -> DataFrame:
+    """type, owner, answer (yes, no or unanswerable) of (type, owner): whether a type is an owner or below it.
+
+    A way up decides, whatever else is missing; without one the answer is open where the type or one above it is not indexed.
+    """
+    up = subtype_pairs(supers)
+    same = pairs.select("type", "owner").distinct()
+    known = indexed.select(F.col("type").alias("known")).distinct()
+    seen = up.unionByName(same.select("type", F.col("type").alias("owner"))).join(known, F.col("owner") == F.col("known"), "left_anti")
+    gaps = seen.select("type").distinct().withColumn("gap", F.lit(True))
+    rows = same.join(up.withColumn("below", F.lit(True)), ["type", "owner"], "left").join(gaps, "type", "left")
+    return rows.select("type", "owner", F.when(F.coalesce("below", F.lit(False)) | (F.col("type") == F.col("owner")), "yes").when(F.col("gap"), "unanswerable").otherwise("no").alias("answer"))
+
+
 def impact(f: Facts, query: str) -> DataFrame:
     """fn, hops, entry_point: all that call one unit, directly or not; the unit itself is left out, cycle or not."""
     target = select_one(f.units, query)
@@ -165,6 +199,13 @@ def blindspots(f: Facts, classes: list[str] | None = None) -> DataFrame:
     return sources.join(reach, "fn", "left").select("fn", "why", F.coalesce("reaches", F.lit(0)).alias("reaches")).orderBy(F.desc("reaches"), "fn")
 
 
+def blindspot_reach(f: Facts, classes: list[str] | None = None) -> DataFrame:
+    """fn, affected: each unit with reasons of its own, and each other unit that inherits from it; a row a pair, not a list."""
+    rows = f.reasons if not classes else f.reasons.where(scalars.reason_class(F.col("why")).isin(classes))
+    pairs = graph.closure(f.callers, rows.select(F.col("fn").alias("source"), F.col("fn").alias("node")).distinct(), ["source"], staged=True)
+    return pairs.where("hops > 0").select(F.col("source").alias("fn"), F.col("node").alias("affected"))
+
+
 def blindspot_stats(f: Facts) -> DataFrame:
     """class, sources: each source counts once for each of its classes; every class has a row."""
     spark = f.units.sparkSession
@@ -264,6 +305,28 @@ def audit(f: Facts, suspect: str) -> DataFrame:
     return count.union(odd).union(per).union(wide)
 
 
+def unresolved(f: Facts) -> DataFrame:
+    """fn: units that are marked unresolved or have Unknown; read these first."""
+    marked = f.units.where("unresolved").select("fn") if "unresolved" in f.units.columns else f.units.select("fn").limit(0)
+    return marked.union(f.inferred.where(F.col("effect") == UNKNOWN).join(f.units.select("fn"), "fn", "left_semi").select("fn")).distinct()
+
+
+def audit_packages(f: Facts, package: Column) -> DataFrame:
+    """package, units, unresolved, effects: of each package how many units have an effect, how many of them are unresolved,
+    and its effects with their units, the most frequent first (of ties the greatest name)."""
+    named = f.units.select("fn").distinct().withColumn("package", package)
+    per = f.inferred.join(named, "fn").groupBy("package", "effect").agg(F.count("*").alias("n"))
+    ranked = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "effect")))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["effect"]))
+    effects = per.where(F.col("effect") != UNKNOWN).groupBy("package").agg(F.array_join(ranked, ",").alias("effects"))
+    size = f.inferred.select("fn").distinct().join(named, "fn").join(unresolved(f).withColumn("open", F.lit(True)), "fn", "left").groupBy("package").agg(F.count("*").alias("units"), F.count("open").alias("unresolved"))
+    return size.join(effects, "package", "left").select("package", "units", "unresolved", F.coalesce("effects", F.lit("")).alias("effects"))
+
+
+def partner_table(hosts: list[str]) -> Column:
+    """The classes of hosts for ``net_classes`` that a configuration names as partners."""
+    return F.create_map(*[x for h in sorted(set(hosts)) for x in (F.lit(h), F.lit("known-partner"))]).cast("map<string,string>")
+
+
 def net_classes(f: Facts, table: Column) -> DataFrame:
     """fn, class of the units that perform Net: by their visible hosts; unknown-host too where hosts are missing or none is seen."""
     net = f.inferred.where(F.col("effect") == "Net").select("fn")

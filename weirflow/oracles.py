@@ -228,3 +228,44 @@ SQL["gate_judged"] = f"""SELECT raw, violations, unevaluated, CASE WHEN violatio
     SELECT r.raw, (SELECT count(*) FROM ({_BROKEN}) b WHERE b.raw = r.raw) AS violations,
       CASE WHEN r.raw LIKE 'deny Unknown%' THEN (SELECT count(*) FROM ({_BLIND})) ELSE 0 END AS unevaluated
     FROM (VALUES {", ".join(f"('{r}')" for r in _RULES)}) r(raw))"""
+
+_ODD = "(fn LIKE 'app::customer%1' OR fn LIKE 'app::customer%7')"
+SQL["show_unit"] = f"""{_NOW}, below AS (SELECT 'app::nation::n1' AS fn UNION SELECT e.dst FROM below b JOIN edges e ON e.src = b.fn)
+    SELECT 'app::nation::n1' AS fn, (SELECT coalesce(string_agg(effect, ',' ORDER BY effect), '') FROM inferred WHERE fn = 'app::nation::n1') AS inferred, '' AS direct, '' AS fs,
+      (SELECT coalesce(string_agg(DISTINCT value, ',' ORDER BY value), '') FROM literals WHERE kind = 'hosts' AND fn IN (FROM below)) AS hosts, '' AS tables,
+      EXISTS (SELECT 1 FROM inferred WHERE fn = 'app::nation::n1' AND effect = 'Unknown') AS unresolved, '' AS loc"""
+SQL["blindspot_reach"] = f"""{_NOW}, up AS (SELECT DISTINCT fn AS source, fn FROM reasons UNION SELECT u.source, e.src FROM up u JOIN edges e ON e.dst = u.fn)
+    SELECT source AS fn, fn AS affected FROM up WHERE fn <> source"""
+SQL["unresolved_units"] = f"{_NOW} SELECT DISTINCT fn FROM inferred WHERE effect = 'Unknown'"
+SQL["audit_packages"] = f"""{_NOW}, per AS (SELECT {_LAYER} AS package, effect, count(*) AS n FROM inferred GROUP BY ALL), size AS (
+      SELECT {_LAYER} AS package, count(DISTINCT fn)::BIGINT AS units, count(*) FILTER (effect = 'Unknown')::BIGINT AS unresolved FROM inferred GROUP BY ALL)
+    SELECT s.package, s.units, s.unresolved, coalesce(string_agg(p.n || ' ' || p.effect, ',' ORDER BY p.n DESC, p.effect DESC), '') AS effects
+    FROM size s LEFT JOIN per p ON p.package = s.package AND p.effect <> 'Unknown' GROUP BY ALL"""
+SQL["subtype_answers"] = """SELECT 'c' || c_custkey AS type, 'r' || (c_custkey % 5) AS owner,
+      CASE WHEN n_regionkey = c_custkey % 5 THEN 'yes' WHEN n_nationkey % 5 = 3 THEN 'unanswerable' ELSE 'no' END AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+SQL["fix_gate"] = f"""{_NOW}, up AS (SELECT effect, fn AS site, fn FROM direct WHERE effect IN ('Db', 'Exec') UNION SELECT u.effect, u.site, e.src FROM up u JOIN edges e ON e.dst = u.fn),
+    per AS (SELECT effect, CASE effect WHEN 'Db' THEN 'app::customer' ELSE 'app::nation' END AS layer, fn, string_agg(site, ',' ORDER BY site) AS sites FROM up
+      WHERE (effect = 'Db' AND fn LIKE 'app::customer::%') OR (effect = 'Exec' AND fn LIKE 'app::nation::%') GROUP BY ALL)
+    SELECT effect, layer, sites, min(fn) AS fn FROM per GROUP BY ALL"""
+SQL["accept_plan"] = f"""{_NOW}, found AS (SELECT fn, list(effect ORDER BY effect) AS has FROM inferred WHERE fn LIKE 'app::nation%' AND effect IN ('Db', 'Exec') GROUP BY fn),
+    entries(fn, accepted, because) AS (VALUES ('app::nation::n1', ['Db', 'Exec', 'Fs'], 'known'), ('app::nation::n2', ['Db'], 'some'), ('app::nation::n999', ['Db'], 'gone')),
+    pairs AS (SELECT e.*, f.has, list_sort(list_filter(accepted, lambda x: NOT list_contains(has, x))) AS gone, list_sort(list_filter(has, lambda x: NOT list_contains(accepted, x))) AS more FROM entries e JOIN found f USING (fn)),
+    plan AS (
+      SELECT 'removed' AS kind, fn, array_to_string(accepted, ',') AS effects, '' AS line FROM entries WHERE fn NOT IN (SELECT fn FROM found)
+      UNION ALL SELECT 'narrowed', fn, array_to_string(gone, ','), 'accept ' || fn || ' ' || array_to_string(list_sort(list_intersect(accepted, has)), ' ') || ' for deny Db Exec app::nation because ' || because FROM pairs WHERE len(more) = 0 AND len(gone) > 0
+      UNION ALL SELECT 'proposed', fn, array_to_string(more, ','), 'accept ' || fn || ' ' || array_to_string(list_sort(list_distinct(list_concat(accepted, has))), ' ') || ' for deny Db Exec app::nation because ' || because FROM pairs WHERE len(more) > 0
+      UNION ALL SELECT 'created', fn, array_to_string(has, ','), 'accept ' || fn || ' ' || array_to_string(has, ' ') || ' for deny Db Exec app::nation because agreed' FROM found WHERE fn NOT IN (SELECT fn FROM entries))
+    SELECT kind, fn, 'deny Db Exec app::nation' AS raw, effects, line FROM plan"""
+SQL["gate_forbid_beyond"] = """SELECT 'forbid app::nation -> elsewhere' AS raw, 'app::nation::n' || c_nationkey AS fn, 'via ' || min('app::customer::c' || c_custkey) AS detail FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey"""
+SQL["gate_verdict"] = f"""SELECT sum(violations)::BIGINT AS violations, sum(unevaluated)::BIGINT AS unevaluated, (SELECT count(*) FROM ({SQL["gate_zero_match"]}))::BIGINT AS zero_match,
+      CASE WHEN sum(violations) > 0 THEN 1 WHEN sum(unevaluated) > 0 THEN 2 ELSE 0 END::INT AS status, CASE WHEN sum(violations) > 0 THEN 'violations' WHEN sum(unevaluated) > 0 THEN 'refused' ELSE 'clear' END AS verdict
+    FROM ({SQL["gate_judged"]})"""
+SQL["verdict_parts"] = f"SELECT raw, fn, effects FROM ({SQL['gate_deny']})"
+SQL["reports_scan"] = f"""{_NOW} SELECT u.fn, coalesce((SELECT string_agg(effect, ',' ORDER BY effect) FROM inferred i WHERE i.fn = u.fn), '') AS inferred,
+      coalesce((SELECT string_agg(effect, ',' ORDER BY effect) FROM direct d WHERE d.fn = u.fn), '') AS direct, u.entry_point FROM units u WHERE regexp_matches(u.fn, '^app::(region|nation|customer)')"""
+SQL["report_envelopes"] = f"""{_NOW} SELECT CASE WHEN {_ODD} THEN 'odd' WHEN fn LIKE 'app::customer%' THEN 'even' ELSE 'top' END AS package, CASE WHEN {_ODD} THEN '1' ELSE '2' END AS version,
+      count(*)::BIGINT AS units, 'absent' AS switches_state FROM units WHERE regexp_matches(fn, '^app::(region|nation|customer)') GROUP BY ALL"""
+SQL["sibling_effects"] = f"""{_NOW} SELECT DISTINCT src AS fn, effect FROM (
+      SELECT e.src, i.effect FROM edges e JOIN inferred i ON i.fn = e.dst WHERE e.src LIKE 'app::nation%' AND NOT (e.dst LIKE '%1' OR e.dst LIKE '%7')
+      UNION ALL SELECT src, 'Unknown' FROM edges WHERE src LIKE 'app::nation%' AND (dst LIKE '%1' OR dst LIKE '%7'))"""
+SQL["baseline_effects"] = f"{_NOW} SELECT fn, effect FROM inferred WHERE fn LIKE 'app::customer%' AND NOT {_ODD}"

@@ -201,8 +201,8 @@ def _accept(out: Policy, i: int, line: str, rest: str, aliases: dict) -> None:
 
 
 def config(text: str) -> dict:
-    """policy, baseline, deps, aliases, partners of a configuration; an alias with an unknown class is refused whole."""
-    out: dict = {"policy": None, "baseline": None, "deps": [], "aliases": {}, "partners": [], "refused": []}
+    """policy, baseline, deps, aliases, partners, engine of a configuration; an alias with an unknown class is refused whole."""
+    out: dict = {"policy": None, "baseline": None, "deps": [], "aliases": {}, "partners": [], "engine": [], "refused": []}
     for i, line in lines_of(text):
         key, _, rest = line.partition(" ")
         if key in ("policy", "baseline"):
@@ -211,6 +211,8 @@ def config(text: str) -> dict:
             out["deps"] += [p for p in re.split(r"[ \t:,]+", rest) if p]
         elif key == "net-partner":
             out["partners"] += rest.split()
+        elif key.lower() == "engine":  # judged by pin_state
+            out["engine"].append(rest)
         elif key == "unknown-alias":
             name, _, classes = rest.partition("=")
             wanted = [c.strip() for c in classes.split(",") if c.strip()]
@@ -223,6 +225,44 @@ def config(text: str) -> dict:
     return out
 
 
+# fixed values: implementations that a pin may name
+IMPLEMENTATIONS = ["java", "rust", "ts", "swift", "agents"]
+
+
+def version(text: str) -> tuple[int | str, ...] | None:
+    """The numbers of a version with two or three parts, the third being 0 if it is missing; None for all else."""
+    m = re.fullmatch(r"[vV]?([0-9]+)\.([0-9]+)(?:\.([0-9]+))?", text.strip())
+    return (m[1], m[2], m[3] or "0") if m else None
+
+
+def pin_state(text: str, implementation: str, running: str) -> str:
+    """What a configuration's engine lines say of a running version: absent, match, mismatch, malformed or undetermined.
+
+    A line names a version, for all or for one implementation, whose own line then decides.  Lines for others are theirs.
+    A line that can't be read, or two that differ, make the pin malformed, since a guard must not be dropped in silence.
+    Mismatch and malformed can't be evaluated (2); an absent pin and an unknown running version change nothing.
+    """
+    pins: dict[bool, set[str]] = {True: set(), False: set()}
+    for _, line in lines_of(text):
+        key, *rest = line.split()
+        if key.lower() != "engine":
+            continue
+        named = bool(rest) and rest[0].lower() in IMPLEMENTATIONS
+        if named and rest[0].lower() != implementation.lower():
+            continue
+        if len(rest) != 1 + named:
+            return "malformed"
+        pins[named].add(rest[-1])
+    if any(len(found) > 1 for found in pins.values()) or any(version(v) is None for found in pins.values() for v in found):
+        return "malformed"
+    pin = next(iter(pins[True] or pins[False]), None)
+    if pin is None:
+        return "absent"
+    if running.strip() in ("", "unknown"):
+        return "undetermined"
+    return "match" if version(pin) == version(running) else "mismatch"
+
+
 def canonical(policy: Policy) -> list[str]:
     """The deny and pure rules in one spelling, sorted: what a scan ran under."""
     out = set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from .facts import Facts
 from .functions import names, scalars
 from .operators import completeness, extensions, gate, snapshots, verbs
 from .plans import policy as P
+from .plans.staging import shared_dir
 from .sources import bridge, reports
 
 #: Cached facts of a session, so that queries that ask about the same tables share one fixpoint.
@@ -583,3 +585,121 @@ def violation_order(spark, sf):
     rows = gate.denied(f, p).unionByName(gate.ambient_authority(f))
     place = F.row_number().over(Window.partitionBy("rule").orderBy("detail", "fn", "raw"))
     return rows.withColumn("place", place).where("place <= 20").select("rule", "place", "fn", "raw", "effects")
+
+
+@query
+def show_unit(spark, sf):
+    """All that a report tells of one unit."""
+    return verbs.show_unit(facts(spark, sf), "nation::n1")
+
+
+@query
+def blindspot_reach(spark, sf):
+    """Who inherits from which blind spot."""
+    return verbs.blindspot_reach(facts(spark, sf))
+
+
+@query
+def unresolved_units(spark, sf):
+    """units to be read first."""
+    return verbs.unresolved(facts(spark, sf))
+
+
+@query
+def audit_packages(spark, sf):
+    """the kinds of units as packages."""
+    return verbs.audit_packages(facts(spark, sf), F.split_part("fn", F.lit("::"), F.lit(2)))
+
+
+@query
+def subtype_answers(spark, sf):
+    """Whether a customer is below a region, by way of nations of which some are not indexed."""
+    nation, customer = bridge.table(spark, sf, "nation"), bridge.table(spark, sf, "customer")
+    n, c = F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("c"), "c_custkey")
+    supers = nation.select(n.alias("type"), F.concat(F.lit("r"), "n_regionkey").alias("super")).union(customer.select(c, F.concat(F.lit("n"), "c_nationkey")))
+    indexed = nation.where("n_nationkey % 5 <> 3").select(n.alias("type")).union(customer.select(c)).union(bridge.table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey")))
+    return verbs.subtype_answers(customer.select(c.alias("type"), F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("owner")), supers, indexed)
+
+
+@query
+def fix_gate(spark, sf):
+    """Remedies for all crossings of two layers."""
+    return gate.fix_gate(facts(spark, sf), P.parse("deny Db app::customer\ndeny Exec app::nation"))
+
+
+@query
+def accept_plan(spark, sf):
+    """What would settle the violations of a policy with three entries."""
+    f = facts(spark, sf)
+    p = P.parse("deny Db Exec app::nation\naccept app::nation::n1 Db Exec Fs for deny Db Exec app::nation because known\naccept app::nation::n2 Db for deny Db Exec app::nation because some\naccept app::nation::n999 Db for deny Db Exec app::nation because gone")
+    return gate.accept_plan(gate.denied(f, p), p, f, "agreed")
+
+
+@query
+def gate_forbid_beyond(spark, sf):
+    """Nations that reach a scope only through other packages' units, here every tenth customer."""
+    f = facts(spark, sf)
+    far = bridge.table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("app::customer::c"), "c_custkey").alias("fn"), F.lit("elsewhere").alias("scope"))
+    return gate.forbidden(f, P.parse("forbid app::nation -> elsewhere"), far).select("raw", "fn", "detail")
+
+
+@query
+def gate_verdict(spark, sf):
+    """The verdict over a policy: how many violations and open questions, rules that bind nothing, and the exit."""
+    f, p = facts(spark, sf), P.parse(POLICY)
+    counts = gate.judged(f, p).agg(F.sum("violations").alias("violations"), F.sum("unevaluated").alias("unevaluated"))
+    zero = gate.zero_match(f, p).agg(F.count("*").alias("zero_match"))
+    n = counts.join(zero).first()
+    status, why = completeness.verdict(n["violations"], n["unevaluated"], completeness.Completeness())
+    return spark.createDataFrame([(*n, status, why)], "violations long, unevaluated long, zero_match long, status int, verdict string")
+
+
+@query
+def verdict_parts(spark, sf):
+    """Violations written as JSON lines by one run and read by another."""
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    gate.denied(facts(spark, sf), P.parse(POLICY)).write.json(path)
+    return completeness.parts(spark, path).select("raw", "fn", "effects")
+
+
+def _reports(spark, sf) -> str:
+    """Reports of regions and nations, and of customers with even and with odd keys, the last by an older version."""
+    f = facts(spark, sf)
+    prefix = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}/snapshot"
+    sets = [f.inferred.groupBy("fn").agg(F.sort_array(F.collect_set("effect")).alias("inferred")), f.direct.groupBy("fn").agg(F.sort_array(F.collect_set("effect")).alias("direct"))]
+    rows = f.units.select("fn", F.col("entry_point").alias("entryPoint"), F.sha2("fn", 256).alias("hash"))
+    for one in sets:
+        rows = rows.join(one, "fn", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("inferred", "direct")})
+    key = F.regexp_extract("fn", "([0-9]+)$", 1)
+    odd = F.col("fn").startswith("app::customer") & key.endswith("1") | F.col("fn").startswith("app::customer") & key.endswith("7")
+    even = F.col("fn").startswith("app::customer") & ~odd
+    for package, which, version in (("top", F.col("fn").rlike("^app::(region|nation)"), "2"), ("even", even, "2"), ("odd", odd, "1")):
+        reports.write_report(rows.where(which), f"{prefix}.{package}.scan.json", package, version)
+    return prefix
+
+
+@query
+def reports_scan(spark, sf):
+    """A1 to A4, B1: units of three reports, written and read again."""
+    return reports.units(spark, _reports(spark, sf)).select("fn", F.array_join("inferred", ",").alias("inferred"), F.array_join("direct", ",").alias("direct"), F.col("entryPoint").alias("entry_point"))
+
+
+@query
+def report_envelopes(spark, sf):
+    """Who wrote the reports and how many units they hold."""
+    return reports.envelopes(spark, _reports(spark, sf)).select("package", "version", F.col("analyzed.count").alias("units"), "switches_state")
+
+
+@query
+def sibling_effects(spark, sf):
+    """What nations get from customers by the other packages' reports, one of them by an older version."""
+    effects, _ = reports.siblings(spark, _reports(spark, sf), "top", "scan", "2")
+    calls = facts(spark, sf).edges.where("src like 'app::nation%'").select(F.col("src").alias("fn"), F.sha2("dst", 256).alias("hash"))
+    return calls.join(effects, "hash").select("fn", "effect").distinct()
+
+
+@query
+def baseline_effects(spark, sf):
+    """An earlier report of one package that this version wrote."""
+    return reports.baseline(spark, _reports(spark, sf), "even", "2", declared=True)
