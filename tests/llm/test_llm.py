@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import debruijn, embeddings, linededup, lzfingerprint, oracles, packing, quality, queries, shared, simhash, spans, suffixarray, tokens, unigram
 
@@ -439,6 +440,16 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 16, 17, 1000])
+def test_cuts_below_a_value(spark, n):
+    import bisect
+
+    cuts = [3 * i - 7 for i in range(n)]
+    values = [None, -(2**63), 2**63 - 1, *range(-12, 12), *cuts[-3:], *(c + 1 for c in cuts[-3:])]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", lzfingerprint._below(F.col("v"), cuts).alias("n"))
+    assert all(r["n"] == (0 if r["v"] is None else bisect.bisect_left(cuts, r["v"])) for r in rows.collect())
+
+
 def test_fingerprints(spark, odd, nothing):
     docs = documents(spark)
     rows = {r["doc_id"]: r for r in queries.op7_lz_fingerprints(spark, SF).collect()}

@@ -7,11 +7,13 @@ how much the texts share, as compressing one after the other would.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values in a signature, 16 bits each.
@@ -83,6 +85,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are below a value, 0 for null.
+
+    Blocks of about sqrt(n) cuts are told apart by their last ones, so a row compares with 2 sqrt(n) of n cuts; all of them
+    are two literals of the plan.
+    """
+    if not cuts:
+        return F.lit(0)
+    side = math.isqrt(len(cuts) - 1) + 1
+    blocks = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+
+    def literal(text: str, kind: str) -> Column:
+        return F.from_json(F.lit(text), kind)  # folded into one literal
+
+    ends = literal(json.dumps([b[-1] for b in blocks]), "array<bigint>")
+    inner = literal(json.dumps(blocks), "array<array<bigint>>")
+    block = F.size(F.filter(ends, lambda e: e < value))
+    within = F.size(F.filter(F.coalesce(F.get(inner, block), F.array().cast("array<bigint>")), lambda e: e < value))
+    return F.when(value.isNull(), 0).otherwise(F.least(block * side + within, F.lit(len(cuts))))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, doc_id, text, place) so that each bucket, sorted, holds a run of documents and then the one after them.
 
@@ -93,10 +116,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-        bucket = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.lit(0))
+    bucket = _below(F.col("doc_id"), [int(c) for c in cuts])
     placed = rows.withColumn("bucket", bucket.cast("int"))
     first = {r["bucket"]: (r["nulls"], r["low"]) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()}
     used = sorted(first)
