@@ -141,3 +141,37 @@ def test_partners_and_incomplete_surfaces(spark):
     f = Facts(frame([("a", False), ("b", False)], "fn string, entry_point boolean"), frame([("a", "b")], "src string, dst string"), frame([("b", "Net")], "fn string, effect string"), frame([], "fn string, why string"), frame([("b", "hosts", "p.org")], "fn string, kind string, value string"), frame([("b", "Net")], "fn string, effect string"))
     assert {tuple(r) for r in verbs.net_classes(f, verbs.partner_table(["p.org"])).collect()} == {("a", "known-partner"), ("b", "known-partner"), ("a", "unknown-host"), ("b", "unknown-host")}
     assert {tuple(r) for r in gate.allowed(f, P.parse("allow Net p.org")).select("fn", F.col("detail")).collect()} == {("a", "no visible literal"), ("b", "no visible literal")}
+
+
+def test_fresh_reports_are_read_and_stale_ones_scanned_again(spark, tmp_path):
+    root, prefix = tmp_path / "src", str(tmp_path / "r")
+    write(root, "a.rs", "x")
+    rows = spark.createDataFrame([("a::f", "a.rs:1", ["Fs"], ["Fs"])], "fn string, loc string, inferred array<string>, direct array<string>")
+    assert reports.state(spark, prefix, str(root)) == "absent"
+    reports.write_report(rows, f"{prefix}.a.lib.json", "a", "1")
+    assert reports.state(spark, prefix, str(root)) == "undated"
+    reports.write_report(rows, f"{prefix}.a.lib.json", "a", "1", reports.tree_hash(spark, str(root)))
+    assert reports.state(spark, prefix, str(root)) == "fresh"
+    f = reports.snapshot(spark, prefix, str(root), lambda: pytest.fail("scanned"))
+    assert [tuple(r) for r in verbs.located(f, f.inferred).collect()] == [("a::f", "Fs", "a.rs:1")]
+    write(root, "a.rs", "y")
+    assert reports.state(spark, prefix, str(root)) == "stale"
+    assert reports.snapshot(spark, prefix, str(root), lambda: "scan") == "scan"
+    write(tmp_path, "r.refused.json", "{}")
+    assert reports.state(spark, prefix, str(root)) == "refused"
+
+
+def test_policy_document():
+    got = json.loads(P.document(P.parse("only a -> b\ndeny Net Unknown[dispatch] x\nmake tea\nallow Tea x")))
+    assert [(r["kind"], r["raw"]) for r in got["rules"]] == [("only", "only a -> b"), ("deny", "deny Net Unknown[dispatch] x")]
+    assert got["rules"][1]["unknown_classes"] == ["dispatch"] and len(got["ignored"]) == 1 and len(got["refused"]) == 1
+
+
+def test_entries_of_rules_without_evidence_are_unjudged(spark):
+    from weirflow.facts import Facts
+
+    units = spark.createDataFrame([("a::f", False)], "fn string, entry_point boolean")
+    f = Facts(units, spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "fn string, effect string"), spark.createDataFrame([], "fn string, why string"), spark.createDataFrame([], "fn string, kind string, value string"), given=spark.createDataFrame([("a::f", "Unknown")], "fn string, effect string"))
+    p = P.parse("deny Unknown[dispatch] a\naccept a::f Unknown[dispatch] for deny Unknown[dispatch] a because x\naccept a::g Unknown[dispatch] for deny Unknown[dispatch] a because x")
+    stands, entries = gate.settle(gate.denied(f, p), p, f)
+    assert stands.count() == 0 and {(r["fn"], r["status"]) for r in entries.collect()} == {("a::f", "unjudged"), ("a::g", "stale")}

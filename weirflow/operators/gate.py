@@ -128,17 +128,18 @@ def _back_to_itself(f: Facts, goals: DataFrame, asked: DataFrame) -> DataFrame:
 
 def permitted_only(f: Facts, p: P.Policy) -> DataFrame:
     """AS-EFF-011: units of a scope that reach a unit neither in it nor permitted; permitted units are not walked through."""
-    frames = []
+    if not p.onlys:
+        return _none(f)
+    cases = []
     for r in p.onlys:
         permit = reduce(lambda a, b: a | b, [names.scope_matches(F.col("dst"), t, permitted=True) for t in r.targets])
-        walk = f.edges.where(~permit)
-        inside = _in(r.source, F.col("dst"))
-        goals = walk.where(~inside).select(F.lit(r.raw).alias("raw"), F.col("dst").alias("node")).distinct()
-        up = walk.where(inside).select(F.lit(r.raw).alias("raw"), F.col("dst").alias("src"), F.col("src").alias("dst"))
-        last = walk.where(~inside).select(F.lit(r.raw).alias("raw"), F.col("dst").alias("src"), F.col("src").alias("dst"))
-        near = verbs.nearest(up.unionByName(last), goals, "raw").where("hops > 0")
-        frames.append(near.where(_in(r.source, F.col("fn"))).join(f.units.select("fn").distinct(), "fn", "left_semi").select(F.lit("AS-EFF-011").alias("rule"), F.lit(r.raw).alias("raw"), "fn", F.lit("").alias("effects"), F.concat(F.lit("reaches "), F.col("source")).alias("detail")))
-    return _union(frames, _none(f))
+        cases.append(F.when(~permit, F.struct(F.lit(r.raw).alias("raw"), _in(r.source, F.col("dst")).alias("inside"))))
+    walk = f.calls.select("src", "dst", F.explode(F.array_compact(F.array(*cases))).alias("r")).select("src", "dst", "r.raw", "r.inside")  # all rules in one pass
+    goals = walk.where("not inside").select("raw", F.col("dst").alias("node")).distinct()
+    near = verbs.nearest(walk.select("raw", F.col("dst").alias("src"), F.col("src").alias("dst")), goals, "raw").where("hops > 0")  # and one walk
+    own = reduce(lambda a, b: a | b, [(F.col("raw") == r.raw) & _in(r.source, F.col("fn")) for r in p.onlys])
+    found = near.where(own).join(f.units.select("fn").distinct(), "fn", "left_semi")
+    return found.select(F.lit("AS-EFF-011").alias("rule"), "raw", "fn", F.lit("").alias("effects"), F.concat(F.lit("reaches "), F.col("source")).alias("detail"))
 
 
 def conformance(declared: DataFrame, f: Facts, strict_scope: str | None = None) -> DataFrame:
@@ -226,12 +227,12 @@ def unverified(f: Facts, p: P.Policy, partners: Column | None = None) -> DataFra
     return first.select("fn", F.col("r.raw").alias("rule"), F.col("r.upgrade").alias("upgrade"))
 
 
-def settle(found: DataFrame, p: P.Policy, f: Facts) -> tuple[DataFrame, DataFrame]:
+def settle(found: DataFrame, p: P.Policy, f: Facts, partners: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(violations that stand, entries with their status): accepted units are taken out.
 
     An entry settles a violation of its rule by its unit, or by a closure inside it (up to eight levels), if it lists all of
     the violation's effects, and for Unknown all of the unit's classes.  An entry's status is accepted, exceeded, ambiguous
-    (the name has two units) or stale (AS-EFF-012: nothing to settle).
+    (the name has two units), unjudged (its rule has no evidence of the unit) or stale (AS-EFF-012: nothing to settle).
     """
     spark = f.units.sparkSession
     entries = spark.createDataFrame([(i, a.fn, a.rule, a.effects, a.classes) for i, a in enumerate(p.accepts)], "entry int, unit string, raw string, accepted array<string>, accepted_classes array<string>")
@@ -250,7 +251,11 @@ def settle(found: DataFrame, p: P.Policy, f: Facts) -> tuple[DataFrame, DataFram
     stands = found.withColumn("key", scalars.rule_key(F.col("raw"))).join(settled.withColumnRenamed("raw", "key"), ["rule", "key", "fn"], "left_anti").select(found.columns)
     rank = F.when(F.col("status") == "ambiguous", 0).when(F.col("status") == "exceeded", 1).otherwise(2)
     status = judged.groupBy("entry").agg(F.min(F.struct(rank.alias("r"), "status")).alias("s")).select("entry", "s.status")
-    listed = entries.join(status, "entry", "left").select("entry", F.col("unit").alias("fn"), "raw", F.coalesce("status", F.lit("stale")).alias("status"))
+    listed = entries.join(status, "entry", "left").select("entry", F.col("unit").alias("fn"), "raw", "status")
+    if any(r.unknown_classes or r.net_classes for r in p.denies):
+        blind = withheld(f, p, partners).select("fn", scalars.rule_key(F.col("raw")).alias("raw"), F.lit("unjudged").alias("open")).distinct()
+        listed = listed.join(blind, ["fn", "raw"], "left").select("entry", "fn", "raw", F.coalesce("status", "open").alias("status"))
+    listed = listed.withColumn("status", F.coalesce("status", F.lit("stale")))
     return stands, listed
 
 

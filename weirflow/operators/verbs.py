@@ -282,6 +282,14 @@ def surprise(hops: Column, effect: Column, fn: Column, source: Column) -> Column
     return names.salience(effect) * benign * names.hops_factor(hops) * crossing
 
 
+def located(f: Facts, rows: DataFrame) -> DataFrame:
+    """Rows (fn, ...) of a path or a tour with loc, where each unit stands; of repeated names the least place."""
+    if "loc" not in f.units.columns:
+        return rows.withColumn("loc", F.lit(""))
+    places = f.units.groupBy("fn").agg(F.min("loc").alias("loc"))
+    return rows.join(places, "fn", "left").withColumn("loc", F.coalesce("loc", F.lit("")))
+
+
 def tour(f: Facts, n: int = 10) -> DataFrame:
     """fn, effect, hops, source, score: the n most surprising reaches, one a unit.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -276,3 +277,11 @@ def upgrade(rule: Deny) -> str:
     """The rule that would also forbid what can't be resolved."""
     scope = f" {rule.scope}" if rule.scope else ""
     return f"deny Unknown{scope}" if rule.pure else f"deny {' '.join(rule.effects)} Unknown{scope}"
+
+
+def document(policy: Policy) -> str:
+    """The rules of a policy as JSON, in the file's order, and the lines that were dropped or can't be judged."""
+    kinds = {"deny": policy.denies, "allow": policy.allows, "forbid": policy.forbids, "only": policy.onlys, "accept": policy.accepts}
+    rules = [{"kind": kind, **{k: v for k, v in vars(r).items() if v not in (None, [], False)}} for kind, found in kinds.items() for r in found]
+    out = {"rules": sorted(rules, key=lambda r: r["order"]), "ignored": [list(x) for x in policy.ignored], "refused": [list(x) for x in policy.fatal]}
+    return json.dumps(out, indent=2, ensure_ascii=False)

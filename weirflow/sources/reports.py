@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -330,17 +331,18 @@ def resolve_calls(rows: DataFrame) -> DataFrame:
     return found.select("caller", "call", target.alias("target"), (target.isNull() & (F.coalesce("n", F.lit(0)) > 1)).alias("ambiguous"))
 
 
-def write_report(rows: DataFrame, path: str, package: str, version: str) -> None:
+def write_report(rows: DataFrame, path: str, package: str, version: str, digest: str | None = None) -> None:
     """One report: the envelope and the units, fields with defaults left out.  Units are sorted; the file appears whole.
 
     A report is one document, so its units pass through the driver, a partition at a time, and are never held together.
+    ``digest`` is that of the source it was made from (``tree_hash``), by which ``state`` tells whether it still holds.
     """
     import json
 
     kept = [c for c in rows.columns if c in UNIT.names]
     blank = {c: F.when(F.size(c) > 0, F.col(c)) for c in kept if c in _SETS} | {c: F.when(F.col(c), F.lit(True)) for c in kept if c in _FLAGS} | {c: F.nullif(F.col(c), F.lit("")) for c in kept if c in ("loc", "hash")}
     texts = rows.select(kept).withColumns(blank).orderBy("fn").select(F.to_json(F.struct(*kept), {"ignoreNullFields": "true"}).alias("j"))
-    head = {"weirflow": {"version": version, "spec": "1"}, "package": package, "analyzed": {"count": rows.count()}}
+    head = {"weirflow": {"version": version, "spec": "1"}, "package": package, "analyzed": {"count": rows.count(), **({"digest": digest} if digest else {})}}
     files.write_whole(rows.sparkSession, path, _json_lines(json.dumps(head, ensure_ascii=False)[:-1] + ', "functions": [', (r["j"] for r in texts.toLocalIterator()), "]}\n"))
 
 
@@ -360,3 +362,21 @@ def tree_hash(spark: SparkSession, root: str, suffix: str = "") -> str:
             for b in part:
                 h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
     return f"{h:016x}"
+
+
+def state(spark: SparkSession, prefix: str, root: str, suffix: str = "") -> str:
+    """What the reports at a prefix say of a source folder now: fresh, stale, undated (no digest), refused or absent."""
+    if refused_before(prefix):
+        return "refused"
+    digests = [r["digest"] for r in envelopes(spark, prefix).select("analyzed.digest").collect()]  # one a report
+    if not digests:
+        return "absent"
+    if None in digests:
+        return "undated"
+    now = tree_hash(spark, root, suffix)
+    return "fresh" if all(d == now for d in digests) else "stale"
+
+
+def snapshot(spark: SparkSession, prefix: str, root: str, scan: Callable[[], Facts], suffix: str = "") -> Facts:
+    """The facts of a source folder: those at rest while they are fresh, else what ``scan`` finds."""
+    return facts(spark, prefix) if state(spark, prefix, root, suffix) == "fresh" else scan()
