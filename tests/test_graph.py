@@ -160,3 +160,30 @@ def test_allow(spark):
     assert pairs(gate.allowed(f, P.parse("allow Net api.example.com")), "fn", "detail") == {("c::h", "no visible literal")}
     assert pairs(gate.allowed(f, P.parse("allow Net in a other.org")), "fn", "detail") == {("a::f", "api.example.com:443")}
     assert f.reached_literals.where(F.col("fn") == "a::f").count() == 1
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_explain_walks_once_for_all_effects(spark, monkeypatch, ordered):
+    """The least of the shortest chains of each effect; neither the edges times the effects nor a fixpoint is staged."""
+    rng = random.Random(3)
+    edges = sorted({(f"m::f{rng.randrange(25)}", f"m::f{rng.randrange(25)}") for _ in range(50)} | {("m::f0", "m::f1"), ("m::f1", "m::f0")})
+    direct = {(f"m::f{rng.randrange(25)}", e) for e in ("Net", "Fs", "Db") for _ in range(2)} | {("m::f99", "Log")}
+    place = {e: rng.randrange(100) if ordered else 0 for e in edges}
+    near, level = {}, {"m::f0": ([], ["m::f0"])}
+    while level:
+        near |= level
+        after = {}
+        for (a, b), n in place.items():
+            if a in level and b not in near:
+                after[b] = min(after.get(b, ([1000], [])), ([*level[a][0], n], [*level[a][1], b]))
+        level = after
+    want = {}
+    for fn, effect in direct:
+        if fn in near:
+            want[effect] = min(want.get(effect, (99,)), (len(near[fn][1]), *near[fn]))
+    f = facts(spark, edges, direct)
+    if ordered:
+        f.order = spark.createDataFrame([(*e, n) for e, n in place.items()], "src string, dst string, ord int")
+    monkeypatch.setattr(graph, "witness", None)
+    monkeypatch.setattr(graph, "propagate", None)
+    assert pairs(verbs.explain(f, "m::f0"), "effect", "path") == {(e, " > ".join(w[2])) for e, w in want.items()} and len(want) == 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..facts import Facts
 from ..functions import names, scalars
 from ..plans import graph
-from ..vocabulary import AMBIENT, CONTAINED, EFFECTS, REASON_CLASSES, UNKNOWN
+from ..vocabulary import ALL_EFFECTS, AMBIENT, CONTAINED, EFFECTS, REASON_CLASSES, UNKNOWN
 
 
 class Refused(Exception):
@@ -233,11 +233,14 @@ def path(f: Facts, query: str, effect: str) -> DataFrame:
 def explain(f: Facts, query: str) -> DataFrame:
     """effect, path: for each effect of one unit the shortest chain to a unit that performs it, over all callees."""
     start = select_one(f.units, query)
-    keys = f.inferred.where(F.col("fn") == start).select(F.col("effect").alias("key"))
-    steps = (f.edges if f.order is None else f.order).join(F.broadcast(keys))  # one row an effect of the vocabulary
-    starts = keys.select("key", F.lit(start).alias("node"))
+    if f.given is None:  # what the unit reaches performs what the unit has: no fixpoint is needed
+        rows = f.direct.where(F.col("effect").isin(*ALL_EFFECTS)).select("effect").distinct()
+    else:
+        rows = f.given.where(F.col("fn") == start).select("effect").distinct()
+    keys = sorted(r["effect"] for r in rows.collect())  # one an effect of the vocabulary
     goals = f.direct.select(F.col("effect").alias("key"), F.col("fn").alias("node"))
-    return graph.witness(steps, starts, goals).select(F.col("key").alias("effect"), F.array_join("path", " > ").alias("path"))
+    found = graph.witnesses(f.calls if f.order is None else f.order, start, goals, keys)
+    return found.select(F.col("key").alias("effect"), F.array_join("path", " > ").alias("path"))
 
 
 def nearest_sources(f: Facts) -> DataFrame:

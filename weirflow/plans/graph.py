@@ -121,3 +121,43 @@ def witness(edges: DataFrame, starts: DataFrame, goals: DataFrame, stop: bool =
     for part in found[1:]:
         out = out.unionByName(part)
     return out
+
+
+def witnesses(edges: DataFrame, start: str, goals: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, path array): what ``witness`` gives for one start and edges (src, dst) that are the same for all keys.
+
+    One walk serves all ``keys``, so the edges are not multiplied by them, and a round reads them as they are unless they
+    have a place (ord).  It ends when every key has its path or nothing new is reached.
+    """
+    spark = edges.sparkSession
+    ranked = "ord" in edges.columns
+    steps = Stage(edges.groupBy("src", "dst").agg(F.min(F.col("ord").cast("long")).alias("ord")), "steps").df if ranked else edges.select("src", "dst")
+    shape = f"node string, {'rank array<bigint>, ' if ranked else ''}path array<string>"
+    delta = Stage(spark.createDataFrame([(start, *([[]] if ranked else []), [start])], shape), "delta")
+    best, levels, left, found = [*(["rank"] if ranked else []), "path"], [delta], set(keys), []
+    for _ in range(ROUNDS):
+        open_goals = goals.where(F.col("key").isin(*left)).distinct()
+        hit = delta.df.join(open_goals, "node").groupBy("key").agg(F.min(F.struct(*best)).alias("best")).select("key", "best.path")
+        rows = hit.collect()  # a path a key
+        found += [(r["key"], r["path"]) for r in rows]
+        left -= {r["key"] for r in rows}
+        if not left:
+            break
+        near = delta.df.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *([F.array_append("rank", F.col("ord")).alias("rank")] if ranked else []), "path")
+        near = near.groupBy("node").agg(F.min(F.struct(*best)).alias("best")).select("node", *(f"best.{b}" for b in best))
+        for old in levels:
+            near = near.join(old.df.select("node"), "node", "left_anti")
+        delta = Stage(near.withColumn("path", F.array_append("path", F.col("node"))), "delta")
+        if delta.df.isEmpty():
+            break
+        levels.append(delta)
+        if len(levels) > 8:  # one table of the nodes so far, so that a round joins few
+            merged = Stage(functools.reduce(DataFrame.unionByName, [old.df.select("node") for old in levels[:-1]]), "seen")
+            for old in levels[:-1]:
+                old.drop()
+            levels = [merged, delta]
+    else:
+        raise RuntimeError("the walk did not settle")
+    for old in {id(x): x for x in [*levels, delta]}.values():
+        old.drop()
+    return spark.createDataFrame(found, "key string, path array<string>")

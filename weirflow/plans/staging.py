@@ -27,6 +27,7 @@ class Stage:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.spark.sparkContext._jvm.System.gc()  # so that the driver's cleaner removes shuffle files of finished stages now
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
