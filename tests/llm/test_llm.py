@@ -601,6 +601,17 @@ def test_recall_of_tables(spark):
     assert links_of(spark, rows) == want  # one block holds them all
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_vectors_that_point_one_way(spark, block):
+    """The tables hold at any block size, even where all vectors of a label are near their mean."""
+    rng = np.random.default_rng(1)
+    rows = [(i, v.astype(np.float32).astype(float).tolist(), 1) for i, v in enumerate(1 + rng.normal(size=(90, 24)) * 0.1)]
+    want = brute_vectors(rows)
+    got = links_of(spark, rows, block=block)
+    assert sum(n for _, n, _ in want) >= 7000
+    assert sum(n for _, n, _ in got) >= 0.95 * sum(n for _, n, _ in want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(i, i + 1) for i in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (70, 2))] + [(300, 300)]

@@ -4,8 +4,8 @@ A rotation is learned on a bounded sample so that the signs of the rotated vecto
 cut into words, one hash table a word; a vector looks into the buckets within one bit of its own word in each table.
 Pairs whose whole codes are near are ranked again by the cosine of the original vectors in double precision.
 
-Only vectors of one label and one width can link, so each such group stands for itself: a width has a rotation of its
-own, and a group that fits into one block is one bucket, in which all of its vectors are compared.
+Only vectors of one label and one width can link, so each such group stands for itself, and a width has a rotation of its
+own.  Groups of all sizes go through the tables.
 """
 
 from __future__ import annotations
@@ -44,15 +44,19 @@ def unit_rows(v: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of iterative quantisation: principal axes, then alternating signs and best rotation."""
+    """(mean, projection) of iterative quantisation: principal axes, then alternating signs and best rotation.
+
+    The axes are those about the origin, not about the mean: planes through it seldom part vectors of a small angle, even
+    where all vectors point one way.
+    """
     dims = sample.shape[1]
     rng = np.random.default_rng(seed)
     if len(sample) < 2:
         return np.zeros(dims), np.linalg.qr(rng.normal(size=(max(dims, CODE_BITS),) * 2))[0][:dims, :CODE_BITS]
-    mean = sample.mean(axis=0)
-    values, axes = np.linalg.eigh(np.cov((sample - mean).T).reshape(dims, dims))
+    mean = np.zeros(dims)
+    values, axes = np.linalg.eigh(sample.T @ sample)
     axes = axes[:, np.argsort(-values)][:, :CODE_BITS]
-    v = (sample - mean) @ axes
+    v = sample @ axes
     k = v.shape[1]
     r = np.linalg.qr(rng.normal(size=(k, k)))[0]
     for _ in range(rounds):
@@ -89,23 +93,19 @@ def _codes(fitted: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def buckets(codes: DataFrame, small: int = 0) -> DataFrame:
+def buckets(codes: DataFrame) -> DataFrame:
     """(bucket, t, id, code, home): a vector's own bucket in each table and, not as home, those one bit away.
 
-    Groups of one label and width of up to ``small`` vectors are one bucket of table -1 each.  A bucket is a hash; vectors
-    of two groups that share one by chance are told apart when they are compared.
+    A bucket is a hash; vectors of two groups that share one by chance are told apart when they are compared.
     """
     mask = (1 << WORD_BITS) - 1
-    large = Stage(codes.groupBy("label", "width").count().where(F.col("count") > small).select("label", "width", F.lit(True).alias("large")), "large-groups").df
-    sized = codes.join(large, ["label", "width"], "left")
     flips = F.array(*[F.lit(f).cast("long") for f in [0, *(1 << j for j in range(WORD_BITS))]])
 
     def probes(t: int) -> Column:
         word = F.shiftrightunsigned("code", t * WORD_BITS).bitwiseAND(F.lit(mask))
         return F.transform(flips, lambda f: F.struct(F.lit(t).alias("t"), word.bitwiseXOR(f).alias("word"), (f == 0).alias("home")))
 
-    alone = F.array(F.struct(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("word"), F.lit(True).alias("home")))
-    every = sized.select("label", "width", "id", "code", F.explode(F.when(F.col("large"), F.concat(*map(probes, range(TABLES)))).otherwise(alone)).alias("p"))
+    every = codes.select("label", "width", "id", "code", F.explode(F.concat(*map(probes, range(TABLES)))).alias("p"))
     return every.select(F.xxhash64("label", "width", "p.t", "p.word").alias("bucket"), "p.t", "id", "code", "p.home")
 
 
@@ -127,7 +127,7 @@ def _candidates(radius: int):
                 if not len(h) or not len(o):
                     continue
                 for i in range(0, len(h), 256):
-                    near = np.bitwise_count(code[h[i : i + 256], None] ^ code[None, o]) <= (radius if t[s] >= 0 else CODE_BITS)
+                    near = np.bitwise_count(code[h[i : i + 256], None] ^ code[None, o]) <= radius
                     near &= ident[h[i : i + 256], None] != ident[None, o]
                     keep[h[i : i + 256]] |= near.any(axis=1)
                     keep[o] |= near.any(axis=0)
@@ -156,8 +156,7 @@ def _rank(cosine: float):
                     part = h[i : i + 256]
                     link = (x[part - s] @ x[o - s].T >= cosine) & (ident[part, None] != ident[None, o])
                     link &= (label[part, None] == label[None, o]) & (sizes[part, None] == sizes[None, o])
-                    if t[s] >= 0:
-                        link &= _words_near(code[part, None], code[None, o], t[s])
+                    link &= _words_near(code[part, None], code[None, o], t[s])
                     for earlier in range(t[s]):  # a pair counts in the first table that it meets in
                         link &= ~_words_near(code[part, None], code[None, o], earlier)
                     count[part - s] += link @ weight[o]
@@ -181,9 +180,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, radius: int = 18,
     own.  Equal vectors of a label are one point with a weight.  A row with a null vec_id has a null component of its own
     and counts as a partner of no one.  Rows that repeat a vec_id with the same vector and label count once as a partner
     and are each returned.  The rotations are fitted, one a width, on at most ``sample`` vectors, chosen by the hash of
-    vec_id; every vector is indexed.  Groups of one label and width of at most ``block`` points are compared whole.  In
-    larger ones ``radius`` bounds the Hamming distance of whole codes (pairs at the threshold differ in 4 of 64 bits on
-    average).
+    vec_id; every vector is indexed.  Pairs that share a word within one bit are candidates, in groups of any size;
+    ``radius`` bounds the Hamming distance of their whole codes (pairs at the threshold differ in 4 of 64 bits on average).
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("long"))
     named = rows.where("vec_id is not null")
@@ -197,7 +195,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, radius: int = 18,
     points = named.where("label is not null and embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight"))
     points = Stage(points, "vectors").df
     codes = points.select("id", "embedding", "label").mapInArrow(_codes(fitted), "id long, code long, label long, width int")
-    found = in_blocks(buckets(codes, block), ["bucket", "t"], "id", "home", block)
+    found = in_blocks(buckets(codes), ["bucket", "t"], "id", "home", block)
     found = found.repartition("bucket", "t", "hb", "cb").sortWithinPartitions("bucket", "t", "hb", "cb")
     schema = "bucket long, hb int, cb int, t int, id long, code long, as_home boolean, as_other boolean"
     found = Stage(found.select("bucket", "hb", "cb", "t", "id", "code", "as_home", "as_other").mapInArrow(_candidates(radius), schema), "candidates")
